@@ -1,0 +1,42 @@
+"""Tables written between steps, in the folder that the whole cluster shares.
+
+The folder is the one named by spark.checkpoint.dir; where the session names
+none (tests on one machine), a temporary one is made and set.  A written table
+cuts lineage: later steps survive the loss of any executor.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared(spark: SparkSession) -> str:
+    """A new folder name under the session's checkpoint folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="convoke-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/convoke-{uuid.uuid4().hex}"
+
+
+def written(frame: DataFrame, path: str | None = None) -> DataFrame:
+    """The frame's rows, written once and read again."""
+    spark = frame.sparkSession
+    path = path or shared(spark)
+    schema = frame.schema
+    frame.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Removes a written table."""
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
+
+
+def columns(frame: DataFrame, *names: str) -> DataFrame:
+    """Only the named columns; the others, whatever their names, can't clash with ours."""
+    return frame.select(*[frame[f"`{n}`"] for n in names])
