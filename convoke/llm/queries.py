@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import substring
+from . import secrets, simhash, substring
 
 QUERIES = {
+    "op5_simhash": simhash.op5_simhash,
+    "op7_secret_scan": secrets.op7_secret_scan,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
 ORACLES = {
