@@ -12,6 +12,7 @@ again until both runs agree.  So the result is that of a single pass.
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -203,12 +204,17 @@ def compiled(patterns: list[str]) -> Automaton:
     sample = [int(np.flatnonzero(kind == k)[0]) for k in range(len(kinds))]
 
     start = nfa.closed([root])
-    number, todo, table = {start: 0}, [start], []
+    reach = [[frozenset().union(*(nfa.closed([x]) for got, x in moves if b in got)) for b in sample] for moves in nfa.moves]
+    moving = [s for s, moves in enumerate(nfa.moves) if moves]
+    useful = frozenset(moving) | frozenset(finals)
+    start &= useful
+    number, todo, table = {start: 0}, deque([start]), []
     while todo:
-        here = todo.pop(0)
+        here = todo.popleft()
         line = []
-        for b in sample:
-            to = nfa.closed({x for s in here for got, x in nfa.moves[s] if b in got} | {root})
+        steps = [reach[s] for s in here if nfa.moves[s]]
+        for k in range(len(sample)):
+            to = start.union(*(x[k] for x in steps)) & useful
             if to not in number:
                 number[to] = len(number)
                 todo.append(to)
