@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import secrets, simhash, substring
+from . import decontaminate, secrets, simhash, substring
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op5_simhash": simhash.op5_simhash,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
 ORACLES = {
+    "op1_decontaminate": decontaminate.ORACLE_SQL,
     "op10_substring_dedup": substring.ORACLE_SQL,
 }
