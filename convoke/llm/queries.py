@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, secrets, simhash, substring
+from . import decontaminate, language, quality, secrets, simhash, substring
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op5_simhash": simhash.op5_simhash,
     "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_quality": quality.op8_quality,
+    "op9_language": language.op9_language,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
 ORACLES = {
