@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, quality, secrets, simhash, substring
+from . import decontaminate, language, packing, quality, secrets, simhash, substring, tokencount
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op4_packing": packing.op4_packing,
     "op5_simhash": simhash.op5_simhash,
+    "op6_token_counts": tokencount.op6_token_counts,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_quality": quality.op8_quality,
     "op9_language": language.op9_language,
