@@ -37,13 +37,18 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, _BETWEEN), "")
 
 
+def hashes(words: Column) -> Column:
+    """A hash of each word: windows of them make less garbage than windows of words."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """n (words), h (hash), w (words) and items (sorted ids) of each different window."""
     rows = columns(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("ws"))
     rows = rows.filter(F.size("ws") > 0).withColumn("n", F.least(F.size("ws"), F.lit(size)))
     rows = rows.select("item_id", "ws", "n", F.explode(F.sequence(F.lit(1), F.size("ws") - F.col("n") + 1)).alias("at"))
     rows = rows.select("item_id", "n", F.slice("ws", F.col("at"), F.col("n")).alias("w"))
-    return rows.groupBy("n", "w").agg(F.array_sort(F.collect_set("item_id")).alias("items")).withColumn("h", F.xxhash64("w"))
+    return rows.groupBy("n", "w").agg(F.array_sort(F.collect_set("item_id")).alias("items")).withColumn("h", F.xxhash64(hashes(F.col("w"))))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -59,7 +64,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, broadcas
     known = known.select(F.col("n").alias("wn"), F.col("w").alias("ww"), "items", F.col("h").alias("wh"))
     if counted[0] <= broadcast_windows and (counted[2] or 0) <= BROADCAST_BYTES:
         known = F.broadcast(known)
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_ws", words(F.col("text")))
+    rows = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_ws", words(F.col("text"))).withColumn("_hs", hashes(F.col("_ws")))
     # Position 0 is each document's marker, which meets the marker of the windows.
     lengths = F.explode(F.array(*[F.lit(n) for n in sizes]))
     if len(sizes) > 1:
@@ -69,8 +74,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, broadcas
         rows, starts = rows.withColumn("_n", F.lit(sizes[0])), F.lit(0)
     last = F.size("_ws") - F.col("_n") + 1
     rows = rows.withColumn("_at", F.explode(F.when(last >= starts, F.sequence(starts, last)).otherwise(F.when(starts == 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))))
-    own = F.slice("_ws", F.greatest("_at", F.lit(1)), F.when(F.col("_at") == 0, 0).otherwise(F.col("_n")))
-    rows = rows.withColumn("_h", F.when(F.col("_at") == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(own)))
+    window = lambda c: F.slice(c, F.greatest("_at", F.lit(1)), F.when(F.col("_at") == 0, 0).otherwise(F.col("_n")))
+    own = window("_ws")
+    rows = rows.withColumn("_h", F.when(F.col("_at") == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(window("_hs"))))
     # Written as two comparisons, equality of words stays a condition and the hash alone is the key.
     same = (own <= F.col("ww")) & (own >= F.col("ww"))
     return rows.join(known, (F.col("_h") == F.col("wh")) & same)
