@@ -43,7 +43,7 @@ _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_N
 class Encoder:
     """Ids of texts; remembers words, ``most`` at a time."""
 
-    def __init__(self, path: str | None = None, most: int = 300_000) -> None:
+    def __init__(self, path: str | None = None, most: int = 800_000) -> None:
         from tokenizers import Tokenizer
 
         if path is None:
@@ -87,7 +87,7 @@ class Encoder:
         if len(self.known) + len(new) > self.most:
             self._forget()
             new = list(seen)
-        self._learn(sorted(new))
+        self._learn(new)
         out = []
         for text, found in zip(texts, cut, strict=True):
             if found is None:
