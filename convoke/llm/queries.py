@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, packing, quality, secrets, simhash, substring, tokencount
+from . import decontaminate, language, packing, quality, secrets, simhash, substring, tokencount, topk
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op3_top_k": topk.op3_top_k,
     "op4_packing": packing.op4_packing,
     "op5_simhash": simhash.op5_simhash,
     "op6_token_counts": tokencount.op6_token_counts,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE_SQL,
+    "op3_top_k": topk.ORACLE_SQL,
     "op10_substring_dedup": substring.ORACLE_SQL,
 }
