@@ -172,7 +172,8 @@ def pack(docs: DataFrame, length: int = LENGTH, end: int = END, pool: int = POOL
         table = {c: pa.array(cols[k], pa.int64()) for k, c in enumerate(("doc_id", "start", "length", "ids_crc32", "doc_tokens"))}
         table |= {"sequence_id": pa.array(made, pa.int64()), "offset": pa.array([0] * len(whole) + offset, pa.int64())}
         if ids:
-            table["ids"] = pa.array([x.tolist() for x in cols[5]], pa.list_(pa.int32()))
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in cols[5]])]).astype(np.int32)
+            table["ids"] = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(cols[5]).astype(np.int32)))
         return pa.RecordBatch.from_pydict(table), first + len(whole) + n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

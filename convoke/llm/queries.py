@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, packing, quality, secrets, simhash, substring, tokencount, topk
+from . import decontaminate, language, packing, quality, scoring, secrets, simhash, substring, tokencount, topk
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_lm_score": scoring.op2_lm_score,
     "op3_top_k": topk.op3_top_k,
     "op4_packing": packing.op4_packing,
     "op5_simhash": simhash.op5_simhash,

@@ -1,13 +1,55 @@
-"""A training-data pipeline: each stage keeps, changes or packs what its predecessor kept."""
+"""A training-data pipeline: each stage keeps, changes or packs all that its predecessor kept.
+
+Every stage takes documents (any columns, doc_id and text among them) and gives
+back the same columns; the last one gives pieces of packed sequences with their
+token ids.  Stages hand over Parquet files, so a lost executor costs a stage at most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from convoke.llm.decontaminate import drop_contaminated
+from convoke.llm.packing import pack
+from convoke.llm.quality import keep_good
+from convoke.llm.secrets import redact
+from convoke.llm.simhash import drop_near_duplicates
 from convoke.llm.store import shared, written
 
-STAGES: list = []
-#: A trained classifier and a tokenizer decide rows: SQL can't express them.
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels, doesn't reject."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    return drop_near_duplicates(docs)
+
+
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any passage of the benchmark."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by their kind."""
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, placed in sequences."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("benchmarks", benchmarks),
+    ("secrets", secrets),
+    ("packing", packing),
+]
+#: A trained classifier, fuzzy links and a tokenizer decide rows: SQL can't express them.
 ORACLE_SQL = None
 
 
