@@ -41,9 +41,9 @@ _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_N
 
 
 class Encoder:
-    """Ids of texts; remembers words, ``most`` at a time."""
+    """Ids of texts; remembers the first ``most`` different words, others for the texts at hand."""
 
-    def __init__(self, path: str | None = None, most: int = 800_000) -> None:
+    def __init__(self, path: str | None = None, most: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         if path is None:
@@ -54,15 +54,10 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.bounds, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 0
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.known) + len(new) > self.most:
-            self._forget()
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
@@ -79,14 +74,18 @@ class Encoder:
             self.used = at + len(ids)
             self.known.update(zip(part, range(n, n + len(part)), strict=True))
 
+    def _forget(self, words: list[str]) -> None:
+        """Takes out the words that were learned last."""
+        for w in words:
+            del self.known[w]
+        self.used = int(self.bounds[len(self.known)])
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without an end."""
         cut: list[list[str] | None] = [None if "<|" in t or not _PLAIN.match(t) else _WORD.findall(t.lower()) for t in texts]
         seen = set().union(*(x for x in cut if x is not None))
         new = [w for w in seen if w not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self._forget()
-            new = list(seen)
+        room = max(0, self.most - len(self.known))
         self._learn(new)
         out = []
         for text, found in zip(texts, cut, strict=True):
@@ -97,6 +96,7 @@ class Encoder:
             begin, n = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
             to = np.cumsum(n)
             out.append(self.ids[np.arange(to[-1] if len(to) else 0) + np.repeat(begin - (to - n), n)])
+        self._forget(new[room:])
         return out
 
 

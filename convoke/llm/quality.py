@@ -76,20 +76,15 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], n
     return out, bounds
 
 
-def train(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, float]:
-    """Weights and bias from (feature numbers, label) rows."""
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, float]:
+    """Weights and bias from (different feature numbers, their shares, label) rows."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     zb = nb = 0.0
     solve = lambda z, n: np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
-    made = []
-    for found, label in rows:
-        at, count = np.unique(found, return_counts=True)
-        x = count / max(1, len(found)) * SCALE
-        made.append((at[at > 0], x[at > 0], label))
     order = np.random.default_rng(7)
     for _ in range(EPOCHS):
-        for k in order.permutation(len(made)):
-            at, x, label = made[k]
+        for k in order.permutation(len(rows)):
+            at, x, label = rows[k]
             w, wb = solve(z[at], n[at]), float(solve(np.array(zb), np.array(nb)))
             p = 1 / (1 + np.exp(-np.clip(w @ x + wb, -30, 30)))
             for_all = p - label
@@ -103,6 +98,13 @@ def train(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, float]:
     return solve(z, n).astype(np.float32), float(solve(np.array(zb), np.array(nb)))
 
 
+def shares(found: np.ndarray) -> bytes:
+    """The different numbers (int32) and then their scaled shares (float32)."""
+    at, count = np.unique(found, return_counts=True)
+    x = (count / max(1, found.size) * SCALE).astype(np.float32)
+    return at[at > 0].astype(np.int32).tobytes() + x[at > 0].tobytes()
+
+
 def learn(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Weights and bias from the labelled rows whose remainder by ``fold`` is not ``held``."""
     known = columns(labels, "doc_id", "quality").filter("quality IS NOT NULL AND doc_id IS NOT NULL")
@@ -114,12 +116,13 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, samp
             for part in X.slices(whole, "text"):
                 streams, bounds = features(*X.buffers(part.column("text")))
                 all_of = np.stack(streams, 1).astype(np.int32)
-                found = [all_of[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                found = [shares(all_of[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "label": part.column("label"), "found": pa.array(found, pa.binary())})
 
     own = columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "text")
     rows = sorted((doc_id, found, label) for doc_id, label, found in own.mapInArrow(read, "doc_id long, label int, found binary").toLocalIterator())
-    return train([(np.frombuffer(found, np.int32), label) for _, found, label in rows])
+    half = lambda found, k: np.frombuffer(found, (np.int32, np.float32)[k]).reshape(2, -1)[k]
+    return train([(half(found, 0), half(found, 1), label) for _, found, label in rows])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: str = "doc_id") -> DataFrame:
