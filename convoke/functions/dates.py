@@ -7,6 +7,7 @@ dates; the first that fits gives the result.  Nothing reads a clock.
 from __future__ import annotations
 
 import datetime
+from collections.abc import Callable
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
@@ -29,29 +30,33 @@ def month_number(name: Column) -> Column:
     return found
 
 
-def checked_date(year: Column, month: Column, day: Column) -> Column:
-    """The calendar date, or null if there is none."""
-    text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
-    return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), text.try_cast("date"))
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is computed once, however often fn uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
-def _result(start: Column, end: Column, precision: str, original: Column, ok: Column) -> Column:
-    made = F.struct(start.alias("start"), end.alias("end"), F.lit(None).cast("string").alias("timezone"), original.alias("original_text"), F.lit(precision).alias("precision"))
-    return F.when(ok, made.cast(TYPE))
+def checked_date(year: Column, month: Column, day: Column) -> Column:
+    """The calendar date, or null if there is none."""
+    text = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(day.cast("string"), 2, "0"))
+    return text.try_cast("date")
 
 
-def _range(start: Column, end: Column, original: Column) -> Column:
-    return _result(start, end, "range", original, F.coalesce(start <= end, F.lit(False)))
+def _span(start: Column, end: Column) -> Column:
+    """A range whose start is not after its end, or null."""
+    ends = F.struct(start.alias("start"), end.alias("end"), F.lit("range").alias("precision"))
+    return let(ends, lambda r: F.when(r["start"] <= r["end"], r))
 
 
-def _single(day: Column, original: Column) -> Column:
-    return _result(day, F.lit(None).cast("date"), "day", original, day.isNotNull())
+def _single(day: Column) -> Column:
+    one = F.struct(day.alias("start"), F.lit(None).cast("date").alias("end"), F.lit("day").alias("precision"))
+    return let(one, lambda r: F.when(r["start"].isNotNull(), r))
 
 
-def _parts(text: Column, pattern: str, n: int) -> list[Column]:
-    """The groups of a whole match; null without one."""
+def _form(text: Column, pattern: str, n: int, make: Callable[..., Column]) -> Column:
+    """make of the groups of a whole match; null without one."""
     whole = f"^{pattern}$"
-    return [F.when(text.rlike(whole), F.regexp_extract(text, whole, k)) for k in range(1, n + 1)]
+    groups = F.array(*[F.regexp_extract(text, whole, k) for k in range(1, n + 1)])
+    return F.when(text.rlike(whole), let(groups, lambda g: make(*[F.get(g, F.lit(k)) for k in range(n)])))
 
 
 def parse_date(text: Column, year_hint: Column | None = None) -> Column:
@@ -60,61 +65,59 @@ def parse_date(text: Column, year_hint: Column | None = None) -> Column:
     Forms without a year count only with a hint; a range over them whose end
     month comes before its start month ends in the next year.
     """
-    t = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    tries: list[Column] = []
-    for pattern in (rf"{_ISO}\s*[/–-]\s*{_ISO}", rf"{_ISO}\s+{_ISO}"):
-        a, b = _parts(t, pattern, 2)
-        tries.append(_range(a.try_cast("date"), b.try_cast("date"), text))
+    trimmed = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    whole = lambda found: F.struct(found["start"].alias("start"), found["end"].alias("end"), F.lit(None).cast("string").alias("timezone"), text.alias("original_text"), F.coalesce(found["precision"], F.lit("unknown")).alias("precision")).cast(TYPE)
+    hint = None if year_hint is None else year_hint.cast("int")
+    return F.when(text.isNotNull(), let(let(trimmed, lambda t: _first_form(t, hint)), whole))
+
+
+def _first_form(t: Column, hint: Column | None) -> Column:
+    """start, end and precision by the first form that fits; null if none does."""
+    iso = lambda a, b: _span(a.try_cast("date"), b.try_cast("date"))
     head = F.regexp_extract(t, r"^([^T ]*)", 1)
-    rest = F.substring(t, F.length(head) + 1, F.length(t))
-    iso = F.when(head.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), head.try_cast("date"))
-    unclear = rest.contains(" - ") | rest.contains(" – ") | rest.contains(" to ") | rest.contains(" / ")
-    unknown = F.struct(F.lit(None).cast("date").alias("start"), F.lit(None).cast("date").alias("end"), F.lit(None).cast("string").alias("timezone"), text.alias("original_text"), F.lit("unknown").alias("precision")).cast(TYPE)
-    tries.append(F.when(iso.isNotNull() & unclear, unknown).when(iso.isNotNull(), _single(iso, text)))
-
-    m1, d1, y1, m2, d2, y2 = _parts(t, rf"{_MONTH}\s+{_DAY},?\s+{_YEAR}{_TO}{_MONTH}\s+{_DAY},?\s+{_YEAR}", 6)
-    tries.append(_range(checked_date(y1, month_number(m1), d1), checked_date(y2, month_number(m2), d2), text))
-    d1, m1, y1, d2, m2, y2 = _parts(t, rf"{_DAY}\s+{_MONTH}\s+{_YEAR}{_TO}{_DAY}\s+{_MONTH}\s+{_YEAR}", 6)
-    tries.append(_range(checked_date(y1, month_number(m1), d1), checked_date(y2, month_number(m2), d2), text))
-    d1, d2, m, y = _parts(t, rf"{_DAY}{_DASH}{_DAY}\s+{_MONTH}\s+{_YEAR}", 4)
-    tries.append(_range(checked_date(y, month_number(m), d1), checked_date(y, month_number(m), d2), text))
-    d1, m1, d2, m2, y = _parts(t, rf"{_DAY}\s+{_MONTH}{_DASH}{_DAY}\s+{_MONTH}\s+{_YEAR}", 5)
-    tries.append(_range(checked_date(y, month_number(m1), d1), checked_date(y, month_number(m2), d2), text))
-    m, d1, d2, y = _parts(t, rf"{_MONTH}\s+{_DAY}{_DASH}{_DAY},?\s+{_YEAR}", 4)
-    tries.append(_range(checked_date(y, month_number(m), d1), checked_date(y, month_number(m), d2), text))
-    m, d, y = _parts(t, rf"{_MONTH}\s+{_DAY},?\s+{_YEAR}", 3)
-    tries.append(_single(checked_date(y, month_number(m), d), text))
-    d, m, y = _parts(t, rf"{_DAY}\s+{_MONTH}\s+{_YEAR}", 3)
-    tries.append(_single(checked_date(y, month_number(m), d), text))
-
-    if year_hint is not None:
-        hint = year_hint.cast("int")
-
-        def span(a: Column, b: Column, c: Column, d: Column) -> Column:
-            first, last = month_number(a), month_number(c)
-            return _range(checked_date(hint, first, b), checked_date(hint + F.when(last < first, 1).otherwise(0), last, d), text)
-
-        d1, d2, m = _parts(t, rf"{_DAY}{_DASH}{_DAY}\s+{_MONTH}", 3)
-        tries.append(span(m, d1, m, d2))
-        d1, m1, d2, m2 = _parts(t, rf"{_DAY}\s+{_MONTH}{_DASH}{_DAY}\s+{_MONTH}", 4)
-        tries.append(span(m1, d1, m2, d2))
-        m1, d1, m2, d2 = _parts(t, rf"{_MONTH}\s+{_DAY}{_DASH}{_MONTH}\s+{_DAY}", 4)
-        tries.append(span(m1, d1, m2, d2))
-        m, d1, d2 = _parts(t, rf"{_MONTH}\s+{_DAY}{_DASH}{_DAY}", 3)
-        tries.append(span(m, d1, m, d2))
-        m, d = _parts(t, rf"{_MONTH}\s+{_DAY}", 2)
-        tries.append(_single(checked_date(hint, month_number(m), d), text))
-        d, m = _parts(t, rf"{_DAY}\s+{_MONTH}", 2)
-        tries.append(_single(checked_date(hint, month_number(m), d), text))
-    return F.when(text.isNotNull(), F.coalesce(*tries, unknown))
+    rest = F.regexp_extract(t, r"^[^T ]*(.*)$", 1)
+    plain = F.when(head.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), head.try_cast("date"))
+    unclear = F.struct(F.lit(None).cast("date").alias("start"), F.lit(None).cast("date").alias("end"), F.lit("unknown").alias("precision"))
+    month = month_number
+    tries = [
+        _form(t, rf"{_ISO}\s*[/–-]\s*{_ISO}", 2, iso),
+        _form(t, rf"{_ISO}\s+{_ISO}", 2, iso),
+        let(plain, lambda d: F.when(d.isNotNull() & rest.rlike(" - | – | to | / "), unclear).otherwise(_single(d))),
+        _form(t, rf"{_MONTH}\s+{_DAY},?\s+{_YEAR}{_TO}{_MONTH}\s+{_DAY},?\s+{_YEAR}", 6, lambda m1, d1, y1, m2, d2, y2: _span(checked_date(y1, month(m1), d1), checked_date(y2, month(m2), d2))),
+        _form(t, rf"{_DAY}\s+{_MONTH}\s+{_YEAR}{_TO}{_DAY}\s+{_MONTH}\s+{_YEAR}", 6, lambda d1, m1, y1, d2, m2, y2: _span(checked_date(y1, month(m1), d1), checked_date(y2, month(m2), d2))),
+        _form(t, rf"{_DAY}{_DASH}{_DAY}\s+{_MONTH}\s+{_YEAR}", 4, lambda d1, d2, m, y: _span(checked_date(y, month(m), d1), checked_date(y, month(m), d2))),
+        _form(t, rf"{_DAY}\s+{_MONTH}{_DASH}{_DAY}\s+{_MONTH}\s+{_YEAR}", 5, lambda d1, m1, d2, m2, y: _span(checked_date(y, month(m1), d1), checked_date(y, month(m2), d2))),
+        _form(t, rf"{_MONTH}\s+{_DAY}{_DASH}{_DAY},?\s+{_YEAR}", 4, lambda m, d1, d2, y: _span(checked_date(y, month(m), d1), checked_date(y, month(m), d2))),
+        _form(t, rf"{_MONTH}\s+{_DAY},?\s+{_YEAR}", 3, lambda m, d, y: _single(checked_date(y, month(m), d))),
+        _form(t, rf"{_DAY}\s+{_MONTH}\s+{_YEAR}", 3, lambda d, m, y: _single(checked_date(y, month(m), d))),
+    ]
+    if hint is not None:
+
+        def across(m1: Column, d1: Column, m2: Column, d2: Column) -> Column:
+            months = F.struct(month(m1).alias("a"), month(m2).alias("b"))
+            return let(months, lambda m: _span(checked_date(hint, m["a"], d1), checked_date(hint + F.when(m["b"] < m["a"], 1).otherwise(0), m["b"], d2)))
+
+        tries += [
+            _form(t, rf"{_DAY}{_DASH}{_DAY}\s+{_MONTH}", 3, lambda d1, d2, m: across(m, d1, m, d2)),
+            _form(t, rf"{_DAY}\s+{_MONTH}{_DASH}{_DAY}\s+{_MONTH}", 4, lambda d1, m1, d2, m2: across(m1, d1, m2, d2)),
+            _form(t, rf"{_MONTH}\s+{_DAY}{_DASH}{_MONTH}\s+{_DAY}", 4, across),
+            _form(t, rf"{_MONTH}\s+{_DAY}{_DASH}{_DAY}", 3, lambda m, d1, d2: across(m, d1, m, d2)),
+            _form(t, rf"{_MONTH}\s+{_DAY}", 2, lambda m, d: _single(checked_date(hint, month(m), d))),
+            _form(t, rf"{_DAY}\s+{_MONTH}", 2, lambda d, m: _single(checked_date(hint, month(m), d))),
+        ]
+    return F.coalesce(*tries)
 
 
 def parse_date_with_reference(text: Column, today: Column) -> Column:
     """parse_date with today's year as the hint; a date without a year that is over moves to the next year."""
-    first, rolled = parse_date(text, F.year(today)), parse_date(text, F.year(today) + 1)
-    latest = F.coalesce(first["end"], first["start"])
-    over = (first["precision"] != "unknown") & (latest < today) & (rolled["precision"] != "unknown")
-    return F.when(F.coalesce(over, F.lit(False)), rolled).otherwise(first)
+    both = F.struct(parse_date(text, F.year(today)).alias("first"), parse_date(text, F.year(today) + 1).alias("rolled"))
+
+    def choice(d: Column) -> Column:
+        first, rolled = d["first"], d["rolled"]
+        over = (first["precision"] != "unknown") & (F.coalesce(first["end"], first["start"]) < today) & (rolled["precision"] != "unknown")
+        return F.when(F.coalesce(over, F.lit(False)), rolled).otherwise(first)
+
+    return let(both, choice)
 
 
 def interval_overlap(start: Column, end: Column, low: Column, high: Column) -> Column:

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Neighbours that make a phrase part of a longer word.
 _PART = r"[\p{IsAlphabetic}\p{N}]"
@@ -22,7 +23,7 @@ def normalize_text(text: Column) -> Column:
     return squeeze(F.lower(text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 

@@ -12,6 +12,7 @@ from urllib.parse import parse_qsl, quote_plus, unquote, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Query keys that tell where a reader came from, not what the page is.
 TRACKING_KEYS = [
@@ -42,12 +43,12 @@ def canonical(url: str | None) -> str | None:
     return f"{scheme}://{host}{f':{port}' if port and port != _PORTS[scheme] else ''}{path}{'?' + query if query else ''}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _canonical(url: pd.Series) -> pd.Series:
     return url.map(canonical)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def join_url(base: pd.Series, href: pd.Series) -> pd.Series:
     """href read on the page base; null where that gives no address."""
 

@@ -18,7 +18,12 @@ from ..functions import urls as U
 from ..schemas import COMPONENTS, LOCATION, MEDIA, PERSON, SOURCE, TALK, TOPIC
 from . import parse as P
 
-_NO_TIME = F.lit(None).cast("timestamp")
+def _no_time() -> Column:
+    return F.lit(None).cast("timestamp")
+
+
+def _none() -> Column:
+    return F.lit(None).cast("string")
 
 
 class Unsupported(NotImplementedError):
@@ -32,13 +37,12 @@ def _stub(rows: DataFrame, title: Column, url: Column, date: Column, native_id:
     )
 
 
-_NONE = F.lit(None).cast("string")
 _KEEP = ["source", "final_url", "fetched_at"]
 
 
 def feed_stubs(docs: DataFrame) -> DataFrame:
     rows = P.rows_of(docs, P.feed, P.ENTRY, _KEEP)
-    return _stub(rows, F.col("title"), F.col("url"), D.parse_date(F.col("date")), F.nullif(F.col("native_id"), F.lit("")), _NONE)
+    return _stub(rows, F.col("title"), F.col("url"), D.parse_date(F.col("date")), F.nullif(F.col("native_id"), F.lit("")), _none())
 
 
 def calendar_day(value: Column) -> Column:
@@ -63,7 +67,7 @@ def calendar_range(dtstart: Column, dtend: Column, duration: Column) -> Column:
     by_duration = ~F.coalesce(by_end, F.lit(False)) & (days > 0)
     done = F.when(by_end, last).when(by_duration, F.date_add(start, (days - 1).cast("int")))
     told = F.when(by_end, F.concat(dtstart, F.lit("/"), dtend)).when(by_duration, F.concat(dtstart, F.lit("/"), duration)).otherwise(dtstart)
-    made = F.struct(start.alias("start"), done.alias("end"), _NONE.alias("timezone"), told.alias("original_text"), F.lit("day").alias("precision"))
+    made = F.struct(start.alias("start"), done.alias("end"), _none().alias("timezone"), told.alias("original_text"), F.lit("day").alias("precision"))
     return F.when(start.isNotNull(), made.cast(D.TYPE))
 
 
@@ -76,7 +80,7 @@ def linked_stubs(docs: DataFrame) -> DataFrame:
     rows = P.rows_of(docs, P.linked, P.NODE, _KEEP)
     address = lambda c: F.when(U.is_http(F.col(c)), F.col(c))
     numbered = F.concat("final_url", F.when(F.col("final_url").contains("?"), "&").otherwise("?"), F.lit("event-node="), F.col("ord").cast("string"))
-    return _stub(rows, F.coalesce("name", F.lit("Untitled")), F.coalesce(address("url"), address("id"), numbered), D.parse_date(F.col("start")), _NONE, _NONE)
+    return _stub(rows, F.coalesce("name", F.lit("Untitled")), F.coalesce(address("url"), address("id"), numbered), D.parse_date(F.col("start")), _none(), _none())
 
 
 def first_date(texts: Column, today: Column | None = None) -> Column:
@@ -89,13 +93,13 @@ def first_date(texts: Column, today: Column | None = None) -> Column:
 def configured_stubs(docs: DataFrame) -> DataFrame:
     """docs need selectors."""
     rows = P.rows_of(docs, P.listed, P.LISTED, _KEEP)
-    return _stub(rows, F.col("title"), F.col("url"), first_date(F.col("date_texts"), F.to_date("fetched_at")), _NONE, _NONE)
+    return _stub(rows, F.col("title"), F.col("url"), first_date(F.col("date_texts"), F.to_date("fetched_at")), _none(), _none())
 
 
 def generic_stubs(docs: DataFrame) -> DataFrame:
     rows = P.rows_of(docs, P.anchors, P.ANCHOR, _KEEP).filter(F.col("error").isNull())
     rows = rows.filter(~C.is_navigation(F.col("text"), F.col("href")) & C.looks_like_event(F.col("text")) & U.is_http(F.col("url")))
-    return _stub(rows, F.col("text"), F.col("url"), F.lit(None).cast(D.TYPE), _NONE, F.col("text"))
+    return _stub(rows, F.col("text"), F.col("url"), F.lit(None).cast(D.TYPE), _none(), F.col("text"))
 
 
 def indico_stubs(docs: DataFrame) -> DataFrame:
@@ -125,7 +129,7 @@ def media_of(links: Column) -> Column:
     def one(x: Column) -> Column:
         url, tag = x["url"], x["tag"]
         kind = F.when(tag == "a", C.link_media_type(url, x["text"], x["title"])).when(tag == "iframe", F.when(C.video_platform(url).isNotNull(), "video")).otherwise(tag)
-        made = F.struct(url.alias("url"), kind.alias("media_type"), _NONE.alias("title"), C.video_platform(url).alias("platform"), F.lit("unknown").alias("public_access"), _NO_TIME.alias("published_at"))
+        made = F.struct(url.alias("url"), kind.alias("media_type"), _none().alias("title"), C.video_platform(url).alias("platform"), F.lit("unknown").alias("public_access"), _no_time().alias("published_at"))
         return F.struct(F.when(U.is_http(url), kind).alias("kind"), C.canonical_media_url(url).alias("key"), made.cast(MEDIA).alias("media"))
 
     rows = F.filter(F.transform(links, one), lambda m: m["kind"].isNotNull())
@@ -140,17 +144,17 @@ def scaffold(rows: DataFrame, title: Column, date: Column, **given: Column) -> D
     source = F.struct(F.col("source").alias("source_id"), F.col("source_url"), F.col("evidence"), F.col("fetched_at").alias("captured_at"), F.col("native_id")).cast(SOURCE)
     canonical = F.coalesce(U.canonical_url(F.col("url")), F.col("url"))
     access = F.struct(given.get("access", F.lit("unknown")).alias("access"), given.get("online", F.lit("unknown")).alias("online"))
-    place = given.get("location", _NONE)
+    place = given.get("location", _none())
     return rows.select(
         X.deterministic_id(X.normalize_name(title), canonical).alias("id"), title.alias("title"), F.col("url"),
         given.get("event_type", C.event_type(title)).alias("event_type"), given.get("status", F.lit("unknown")).alias("status"),
         F.coalesce(date, D.parse_date(F.lit(""))).alias("date"),
-        F.when(place.isNotNull(), F.struct(place.alias("name"), _NONE.alias("city"), _NONE.alias("country"), _NONE.alias("venue")).cast(LOCATION)).alias("location"),
-        given.get("description", _NONE).alias("description"), array(TOPIC).alias("topics"), given.get("people", array(PERSON)).alias("people"),
+        F.when(place.isNotNull(), F.struct(place.alias("name"), _none().alias("city"), _none().alias("country"), _none().alias("venue")).cast(LOCATION)).alias("location"),
+        given.get("description", _none()).alias("description"), array(TOPIC).alias("topics"), given.get("people", array(PERSON)).alias("people"),
         given.get("talks", array(TALK)).alias("talks"), given.get("media", array(MEDIA)).alias("media"), access.alias("access"),
         F.array(source).alias("sources"), F.lit(0).cast("float").alias("score"),
         F.lit(None).cast(COMPONENTS).alias("score_components"),
-        F.array().cast("array<string>").alias("rank_reasons"), _NO_TIME.alias("first_seen_at"), _NO_TIME.alias("last_seen_at"),
+        F.array().cast("array<string>").alias("rank_reasons"), _no_time().alias("first_seen_at"), _no_time().alias("last_seen_at"),
         F.col("source"), F.col("stub_ord"),
     )
 
@@ -161,7 +165,7 @@ def _speaker(name: Column, evidence: Column) -> Column:
 
 def _talk(talk_id: Column, title: Column, speakers: Column) -> Column:
     none = lambda kind: F.array().cast(f"array<{kind}>")
-    return F.struct(talk_id.alias("id"), title.alias("title"), speakers.alias("speaker"), _NONE.alias("abstract_text"), F.lit(None).cast("struct<start:timestamp,end:timestamp,timezone:string>").alias("date_time"), none(MEDIA).alias("media"), none(TOPIC).alias("topics")).cast(TALK)
+    return F.struct(talk_id.alias("id"), title.alias("title"), speakers.alias("speaker"), _none().alias("abstract_text"), F.lit(None).cast("struct<start:timestamp,end:timestamp,timezone:string>").alias("date_time"), none(MEDIA).alias("media"), none(TOPIC).alias("topics")).cast(TALK)
 
 
 def _with_pages(stubs: DataFrame, pages: DataFrame) -> DataFrame:
@@ -202,10 +206,10 @@ def enrich_configured(stubs: DataFrame, docs: DataFrame, specs: DataFrame, now:
     title = F.coalesce("p_title", "title")
     names = F.coalesce("speakers", F.array().cast("array<string>"))
     rows = rows.withColumns({"_title": title, "_names": names})
-    talks = F.transform("_names", lambda n: _talk(X.deterministic_id(F.col("_title"), n, F.col("url")), F.col("_title"), F.array(_speaker(n, _NONE))))
+    talks = F.transform("_names", lambda n: _talk(X.deterministic_id(F.col("_title"), n, F.col("url")), F.col("_title"), F.array(_speaker(n, _none()))))
     return scaffold(
         rows, F.col("_title"), F.coalesce(first_date(F.col("date_texts")), F.col("date_hint")), description=F.col("description"), location=F.col("location"),
-        people=F.transform("_names", lambda n: _speaker(n, _NONE)), talks=talks, media=media_of(F.col("links")),
+        people=F.transform("_names", lambda n: _speaker(n, _none())), talks=talks, media=media_of(F.col("links")),
         access=F.when(F.col("found"), C.access_class(F.col("words"))).otherwise("unknown"),
     )
 
