@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -107,7 +108,7 @@ class ScanStore:
         if self.read_only:
             raise StateError("the state is open for reading only")
         version = seen["version"] + 1
-        folder = f"v{version:09d}"
+        folder = f"v{version:09d}-{uuid.uuid4().hex[:12]}"
         for name, frame in frames.items():
             out = frame.select(*[f.name for f in schema(TABLES[name]).fields]).write.mode("overwrite")
             (out.partitionBy("source") if name == "health" else out).parquet(f"{self.path}/{folder}/{name}")
@@ -118,7 +119,7 @@ class ScanStore:
         now = self.pointer()["version"]
         for s in self._fs.listStatus(self._path(self.path)):
             name = s.getPath().getName()
-            if name.startswith("v") and name[1:].isdigit() and int(name[1:]) <= now - keep:
+            if name[:1] == "v" and name[1:10].isdigit() and int(name[1:10]) <= now - keep:
                 self._fs.delete(s.getPath(), True)
 
     # Reads

@@ -221,17 +221,17 @@ def enrich_calendar(stubs: DataFrame, now: Column) -> DataFrame:
 
 def enrich_linked(stubs: DataFrame, docs: DataFrame, now: Column) -> DataFrame:
     """Events of JSON-LD pages: a node with the stub's address, else the only one with its name and no address."""
-    nodes = P.rows_of(docs.filter(F.col("error").isNull()), P.linked, P.NODE, ["source", "url"]).filter(F.col("error").isNull())
-    nodes = nodes.select("source", F.col("url").alias("page"), F.struct("name", F.col("id"), "description", "location", "talks", "no_address", "ord").alias("node"), F.col("ord"))
-    page = F.coalesce(F.regexp_replace("url", r"[?&]event-node=[0-9]+$", ""), "url")
-    rows = stubs.withColumn("page", page).join(nodes, ["source", "page"], "left")
-    exact = (F.col("node.id") == F.col("url")) | (F.col("page") == F.col("url")) & ~F.col("node.no_address") & F.coalesce(F.col("node.name") == F.col("title"), F.lit(False))
+    own = docs.filter(F.col("error").isNull()).withColumnRenamed("url", "page")
+    nodes = P.rows_of(own, P.linked, P.NODE, ["source", "page"]).filter(F.col("error").isNull())
+    nodes = nodes.select("source", "page", F.struct("ord", "name", "url", "id", "description", "location", "talks", "no_address").alias("node"))
+    rows = stubs.withColumn("page", F.regexp_replace("url", r"[?&]event-node=[0-9]+$", "")).join(nodes, ["source", "page"], "left")
+    exact = (F.col("node.url") == F.col("url")) | F.coalesce(F.col("node.id") == F.col("url"), F.lit(False))
     by_name = F.col("node.no_address") & (F.coalesce(F.col("node.name"), F.lit("Untitled")) == F.col("title"))
     own = Window.partitionBy("source", "url", "stub_ord")
     rows = rows.withColumns({"_exact": F.coalesce(exact, F.lit(False)), "_name": F.coalesce(by_name, F.lit(False))})
     rows = rows.withColumns({"_any": F.max(F.col("_exact").cast("int")).over(own), "_names": F.sum(F.col("_name").cast("int")).over(own)})
     pick = F.when(F.col("_any") == 1, F.col("_exact")).otherwise(F.col("_name") & (F.col("_names") == 1))
-    rows = rows.groupBy(*[c for c in stubs.columns if c != "date_hint"], F.to_json("date_hint").alias("_date")).agg(F.array_sort(F.collect_list(F.when(pick, F.struct("ord", "node")))).alias("nodes"))
+    rows = rows.groupBy(*[c for c in stubs.columns if c != "date_hint"], F.to_json("date_hint").alias("_date")).agg(F.array_sort(F.collect_list(F.when(pick, F.struct(F.col("node.ord"), F.col("node"))))).alias("nodes"))
     rows = rows.withColumn("date_hint", F.from_json("_date", D.TYPE)).withColumn("fetched_at", now)
     first = lambda k: F.get(F.filter(F.transform("nodes", lambda n: n["node"][k]), lambda v: v.isNotNull()), F.lit(0))
     talks = F.flatten(F.transform("nodes", lambda n: F.transform(n["node"]["talks"], lambda t: _talk(X.deterministic_id(F.coalesce(t["title"], F.col("title")), F.array_join(t["names"], ", ")), F.coalesce(t["title"], F.col("title")), F.transform(t["names"], lambda p: _speaker(p, t["evidence"]))))))
