@@ -16,7 +16,8 @@ are, and tasks hand on their k best for each query.  Thresholds start from the
 
 Vectors that are null, or hold a null or non-finite component, take no part.  A
 vector is no candidate for its own row; other rows with its id are.  Missing
-components of a shorter vector count as 0.  Ties go to the smaller vec_id, null
+components of a shorter vector count as 0.  Products beyond a long are held at
+its ends.  Ties go to the smaller vec_id, null
 last; a null vec_id is no query.
 """
 
