@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import columns
+from ..plans.tables import columns
 
 SIZE = 10
 BROADCAST_WINDOWS, BROADCAST_BYTES = 500_000, 64 << 20

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import arrowtext as X
 from .quality import remainder
-from .store import columns
+from ..plans.tables import columns
 
 SAMPLE, EPOCHS, RATE, SCALE = 800, 4, 0.5, 10.0
 _BITS = 16

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrowtext as X
-from .store import columns
+from ..plans.tables import columns
 
 LENGTH, END, POOL = 2048, 1, 1 << 22
 VOCABULARY = "word_bpe_49k.json"

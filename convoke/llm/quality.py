@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrowtext as X
-from .store import columns
+from ..plans.tables import columns
 
 SAMPLE, BITS, EPOCHS, KEEP = 6000, 20, 6, 0.3
 ALPHA, BETA, L1, L2, SCALE = 0.5, 1.0, 1e-4, 1e-4, 6.0

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import arrowtext as X
 from .automaton import Automaton, compiled
-from .store import columns
+from ..plans.tables import columns
 
 KINDS = ("assign", "access", "hex")
 NAMES = ("password", "passwd", "secret", "token", "api_?key")

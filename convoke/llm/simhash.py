@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import arrowtext as X
-from .components import components
-from .store import columns, written
+from ..operators.components import components
+from ..plans.tables import columns, written
 
 SHINGLE, DISTANCE = 3, 3
 #: Fixed value: the generator polynomial of the (23, 12) Golay code.

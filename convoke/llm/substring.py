@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import arrowtext as X
 from .bits import bitmap, passes
-from .store import columns, shared, written
+from ..plans.tables import columns, shared, written
 
 WINDOW, ANCHOR = 20, 10
 _CHECK = 0xC2B2AE3D27D4EB4F

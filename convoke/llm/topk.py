@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import columns, written
+from ..plans.tables import columns, written
 
 K, EVERY, BLOCK, SEEDS, BUCKET = 10, 100, 2048, 1000, 512
 #: From this cosine on coordinates prune more than they cost.

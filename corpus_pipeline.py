@@ -14,7 +14,7 @@ from convoke.llm.packing import pack
 from convoke.llm.quality import keep_good
 from convoke.llm.secrets import redact
 from convoke.llm.simhash import drop_near_duplicates
-from convoke.llm.store import shared, written
+from convoke.plans.tables import shared, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

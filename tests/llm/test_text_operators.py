@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from convoke.llm import arrowtext as X
-from convoke.llm import attention, automaton, components, language, packing, quality, scoring, secrets, simhash, substring, tokencount
+from convoke.llm import attention, automaton, language, packing, quality, scoring, secrets, simhash, substring, tokencount
 from convoke.llm import decontaminate as D
 
 ODD = [None, "", "   \n", "é", "a" * 20_000, "one", "x y", " nbsp ", "tab\tnew\nline\r\x0b\x0cend"]
@@ -236,23 +236,6 @@ def test_simhash(spark, monkeypatch):
     assert simhash.near_duplicates(rows.limit(0)).count() == 0 and simhash.drop_near_duplicates(rows.limit(0)).count() == 0
 
 
-def test_components(spark):
-    rng = random.Random(8)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 440)] + [(500, 500 + k) for k in range(60)] + [(7, 7)]
-    parent = {x: x for e in edges for x in e}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        a, b = find(a), find(b)
-        parent[max(a, b)] = min(a, b)
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: find(x) for x in parent if find(x) != x}
-
-
 # 6
 
 
