@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from convoke.operators import changes as G
 from convoke.operators import checks as Q
+from convoke.operators import components
 from convoke.operators import dedup as K
 from convoke.operators import enrich as E
 from convoke.operators import health as H
@@ -150,3 +151,20 @@ def test_checks(spark, tmp_path):
     assert Q.repeated_keys(rows, "id", "name").count() == 1
     assert sorted(r.value for r in Q.not_typed(rows, "id", {"n": "unsigned"}).collect()) == ["-1", "x"]
     assert Q.states_root('{"title": "Scan"}', "Scan") and not Q.states_root(" ", "Scan") and not Q.states_root(None, "Scan")
+
+
+def test_components(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 440)] + [(500, 500 + k) for k in range(60)] + [(7, 7)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in parent if find(x) != x}
