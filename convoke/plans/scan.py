@@ -76,8 +76,12 @@ def collected(registries: Registries, listings: DataFrame, pages: DataFrame, now
         raise ScanError(4, "no source is enabled")
     at = F.lit(now).cast("timestamp")
     stubs = written(limits.capped_stubs(adapters.discover(listings.filter(F.col("error").isNull()), specs, used)))
-    events = adapters.enrich(stubs.drop("cut"), pages, specs, used, at)
-    asked = web.detail_plans(stubs).groupBy("source").agg(F.count("*").alias("asked"))
+    depth = specs.select(F.col("id").alias("source"), "max_depth")
+    plans = web.detail_plans(stubs.join(F.broadcast(depth), "source"), F.col("max_depth"))
+    asked = plans.groupBy("source").agg(F.count("*").alias("asked"))
+    # A source without any plan is enriched from its listing.
+    own = listings.filter(F.col("error").isNull()).join(asked.select("source"), "source", "left_anti")
+    events = adapters.enrich(stubs.drop("cut"), pages.unionByName(own.select(pages.columns)), specs, used, at)
     lost = pages.filter(F.col("error").isNotNull()).groupBy("source").agg(F.count("*").alias("failed"))
     count = stubs.groupBy("source").agg(F.count("*").alias("events"), F.max("cut").alias("cut"))
     first = listings.groupBy("source").agg(F.first("error", ignorenulls=True).alias("error"), F.count("*").alias("entries"))

@@ -9,10 +9,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from convoke.__main__ import main
 from convoke.plans import output as O
 from convoke.plans import scan as N
 from convoke.plans import state as S
 from convoke.schemas import EVENT, HEALTH, schema
+from convoke.sources import files
 from convoke.sources import registry as R
 from convoke.streaming import scans as Z
 
@@ -118,6 +120,42 @@ def test_whole_scan(spark, tmp_path):
         N.Query(datetime.date(2026, 1, 1), mode="never")
 
 
+def test_listing_stands_in_for_pages(spark):
+    toml = '[[sources]]\nid = "ld"\nname = "L"\nadapter = "json_ld"\nentrypoint = "https://ld.org/"\n'
+    body = b'<script type="application/ld+json">[{"@type":"Event","name":"A","startDate":"2026-06-20","description":"long"},{"@type":"Event","name":"B","startDate":"2026-06-21"}]</script>'
+    listing = files.documents(spark.createDataFrame([("ld", "https://ld.org/", body, at(0))], "source string, url string, body binary, fetched_at timestamp"))
+    found = N.run(N.Registries(R.sources(spark, toml)), listing, listing.limit(0), N.Query(datetime.date(2026, 6, 1)), at(0))
+    assert [(e.title, str(e.date.start), e.description) for e in found.events.orderBy("title").collect()] == [("A", "2026-06-20", "long"), ("B", "2026-06-21", None)]
+
+
+def test_commands(spark, tmp_path):
+    (tmp_path / "s.toml").write_text('[[sources]]\nid = "cal"\nname = "Cal"\ntier = "s"\nadapter = "ics"\nentrypoint = "https://cal.org/"\n')
+    (tmp_path / "t.toml").write_text('[[topics]]\nid = "x"\nname = "Topology"\n')
+    ics = "BEGIN:VCALENDAR\nBEGIN:VEVENT\nSUMMARY:Topology seminar\nURL:https://cal.org/1\nDTSTART;VALUE=DATE:20260610\nEND:VEVENT\nEND:VCALENDAR"
+    spark.createDataFrame([("cal", "https://cal.org/", ics)], "source string, url string, body string").write.json(f"{tmp_path}/l.json")
+    spark.createDataFrame([], "source string, url string, body binary").write.parquet(f"{tmp_path}/p")
+    use = ["scan", "--listings", f"{tmp_path}/l.json", "--pages", f"{tmp_path}/p", "--sources", f"{tmp_path}/s.toml", "--topics", f"{tmp_path}/t.toml", "--today", "2026-06-01", "--state", f"{tmp_path}/state"]
+    out = io.StringIO()
+    assert main(use, out, at(0)) == 0
+    found = json.loads(out.getvalue())
+    assert [(e["title"], e["score"], e["status"]) for e in found["events"]] == [("Topology seminar", 25.0, "announced")] and [c["kind"] for c in found["changes"]] == ["event_added"]
+    for args, text in ((["doctor", "--state", f"{tmp_path}/state"], '"events": 1'), (["sources", "--sources", f"{tmp_path}/s.toml"], "cal "), (["schema"], "rank_reasons")):
+        out = io.StringIO()
+        assert main(args, out) == 0 and text in out.getvalue()
+    (tmp_path / "bad.toml").write_text('[[sources]]\nid = "a"\nname = ""\nentrypoint = "https://a.org/"\n')
+    assert main([*use[:5], "--sources", f"{tmp_path}/bad.toml"], io.StringIO()) == 3
+    assert main(["doctor", "--state", f"{tmp_path}/none"], io.StringIO()) == 5
+    (tmp_path / "off.toml").write_text('[[sources]]\nid = "a"\nname = "A"\nenabled = false\n')
+    assert main([*use[:5], "--sources", f"{tmp_path}/off.toml"], io.StringIO()) == 4
+
+
+def test_files_of_a_folder(spark, tmp_path):
+    (tmp_path / "a.html").write_bytes(b"<h1>x</h1>")
+    index = spark.createDataFrame([("a.html", "s", "https://e.org/a", "text/html"), ("b.html", "s", "https://e.org/b", "text/html")], "file string, source string, url string, content_type string")
+    rows = files.read_folder(spark, f"file://{tmp_path}", index).collect()
+    assert [(r.url, r.final_url, bytes(r.body), r.error) for r in rows] == [("https://e.org/a", "https://e.org/a", b"<h1>x</h1>", None)]
+
+
 def test_output(spark):
     events = frame(spark, [event("a", description="x" * 2000, sources=[source()]), event("b", title="é")])
     around = O.envelope({"mode": "both"}, health(spark, "ok"), spark.createDataFrame([], "event_id string"), "2026-01-01T00:00:00Z")
