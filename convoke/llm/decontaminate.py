@@ -8,9 +8,9 @@ occurrence of a window are hit.
 The benchmark's windows are a set of hashes, broadcast while their counted
 number and size are within bounds, and joined by shuffle beyond.  Each
 document's windows are hashed and probed where its row is; a hit is verified by
-comparing words within the join, so only true hits leave it.  Words never travel
-with a window: one marker per document and the hits go to the aggregate, which
-is per row of documents.
+comparing words within the join, so only true hits leave it.  A document's words
+never travel with a window: one marker per document and the hits go to the
+aggregate, which is per row of documents.
 
 Null texts have no words; null item ids are left out of items.  Rows with the
 same doc_id are rows of their own.  An empty benchmark hits nothing.
@@ -54,7 +54,7 @@ def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """A row for each row of docs (_at is 0) and for each hit (_at: its first word, from 1; wn: its words).
 
-    All columns of docs and _row, _ws (words) and items come along.
+    All columns of docs and _row, _words (their number) and items come along.
     """
     known = benchmark_windows(benchmark, size)
     counted = known.agg(F.count("*"), F.collect_set("n"), F.sum(F.octet_length(F.concat_ws(" ", "w", "items")))).first()
@@ -62,9 +62,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, broadcas
     marker = known.sparkSession.range(1).select(F.lit(0).alias("n"), F.array().cast("array<string>").alias("w"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("h"))
     known = known.select("n", "w", "items", "h").unionByName(marker)
     known = known.select(F.col("n").alias("wn"), F.col("w").alias("ww"), "items", F.col("h").alias("wh"))
-    if counted[0] <= broadcast_windows and (counted[2] or 0) <= BROADCAST_BYTES:
-        known = F.broadcast(known)
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_ws", words(F.col("text"))).withColumn("_hs", hashes(F.col("_ws")))
+    small = counted[0] <= broadcast_windows and (counted[2] or 0) <= BROADCAST_BYTES
+    rows = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_ws", words(F.col("text")))
+    rows = rows.withColumn("_hs", hashes(F.col("_ws"))).withColumn("_words", F.size("_ws").cast("long"))
     # Position 0 is each document's marker, which meets the marker of the windows.
     lengths = F.explode(F.array(*[F.lit(n) for n in sizes]))
     if len(sizes) > 1:
@@ -78,15 +78,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, broadcas
     own = window("_ws")
     rows = rows.withColumn("_h", F.when(F.col("_at") == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(window("_hs"))))
     # Written as two comparisons, equality of words stays a condition and the hash alone is the key.
-    same = (own <= F.col("ww")) & (own >= F.col("ww"))
-    return rows.join(known, (F.col("_h") == F.col("wh")) & same)
+    if small:
+        same = (own <= F.col("ww")) & (own >= F.col("ww"))
+        return rows.join(F.broadcast(known), (F.col("_h") == F.col("wh")) & same).drop("_ws", "_hs")
+    # By shuffle a row carries its own window's words, never the document's.
+    rows = rows.withColumn("_own", own).drop("_ws", "_hs")
+    same = (F.col("_own") <= F.col("ww")) & (F.col("_own") >= F.col("ww"))
+    return rows.join(known, (F.col("_h") == F.col("wh")) & same).drop("_own")
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, keep: list[str], size: int) -> DataFrame:
     """Per row of docs: the columns in keep, n_words, hits and items."""
     met = find_leaks(docs, benchmark, size)
     hit = F.when(F.col("_at") > 0, F.struct(F.col("_at").alias("start"), F.col("wn").alias("n")))
-    return met.groupBy("_row", *[F.col(f"`{c}`") for c in keep], F.size("_ws").cast("long").alias("n_words")).agg(
+    return met.groupBy("_row", *[F.col(f"`{c}`") for c in keep], F.col("_words").alias("n_words")).agg(
         F.array_sort(F.collect_list(hit)).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
@@ -118,7 +123,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -
     own = [f"c{k}" for k in range(len(docs.columns))]
     inner = docs.toDF(*own)
     text = own[[c.lower() for c in docs.columns].index("text")]
-    met = find_leaks(inner.withColumnRenamed(text, "text"), benchmark, size)
+    met = find_leaks(inner.select(F.col(text).alias("text")), benchmark, size)
     kept = [F.col("text") if c == text else F.col(c) for c in own]
     leaks = met.filter("_at > 0").select(F.col("_row").alias("leak")).distinct()
     rows = inner.withColumnRenamed(text, "text").withColumn("_row", F.monotonically_increasing_id())
