@@ -205,7 +205,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     bits = spark.sparkContext.broadcast(bitmap(reduce(DataFrame.unionByName, repeated), "h"))
 
     rows = _candidates(docs, bits, window, anchor)
-    first = rows.groupBy("h", "v").agg(F.min("d").alias("first"), F.max("d").alias("last")).filter("last > first").select("h", "v", "first")
+    first = rows.groupBy("h", "v").agg(F.min("d").alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "v", "first")
     lists = shared(spark)
     found = written(rows.join(first, ["h", "v"]).filter("d > first").groupBy("d").agg(F.collect_list("h").alias("found")), lists)
     owners = spark.sparkContext.broadcast(bitmap(found.select(F.xxhash64("d").alias("o")), "o"))
