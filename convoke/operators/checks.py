@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,9 +23,9 @@ def empty_cells(table: DataFrame, key: str, wanted: list[str]) -> DataFrame:
 
 
 def repeated_keys(table: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows whose key an earlier row has."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return table.withColumn("_n", n).filter("_n > 1").drop("_n")
+    """Rows whose key an earlier row has; ``order`` is unique.  A key's rows are never gathered."""
+    first = table.groupBy(key).agg(F.min(order).alias("_first"))
+    return table.join(first, key).filter(F.col(order) > F.col("_first")).drop("_first")
 
 
 def outside(table: DataFrame, key: str, domains: dict[str, list[str]]) -> DataFrame:

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STUBS_PER_SOURCE, CANDIDATES, TALKS = 2000, 10_000, 300
+STUBS_PER_SOURCE, CANDIDATES, TALKS, PARTS = 2000, 10_000, 300, 64
 
 
 def capped_stubs(stubs: DataFrame, most: int = STUBS_PER_SOURCE) -> DataFrame:
-    """The first stubs of each source by stub_ord; ``cut`` tells that the source had more."""
+    """The first stubs of each source by stub_ord; ``cut`` tells that the source had more.
+
+    Parts of a source are cut first, so that no task sorts all stubs of a large one.
+    """
+    part = F.pmod(F.xxhash64("stub_ord"), F.lit(PARTS))
+    parts = Window.partitionBy("source", "_part").orderBy("stub_ord")
+    rows = stubs.withColumn("_part", part).withColumn("_n", F.row_number().over(parts)).filter(F.col("_n") <= most + 1)
     own = Window.partitionBy("source").orderBy("stub_ord")
-    rows = stubs.withColumn("_n", F.row_number().over(own)).filter(F.col("_n") <= most + 1)
+    rows = rows.withColumn("_n", F.row_number().over(own)).filter(F.col("_n") <= most + 1).drop("_part")
     rows = rows.withColumn("cut", F.max("_n").over(Window.partitionBy("source")) > most)
     return rows.filter(F.col("_n") <= most).drop("_n")
 
