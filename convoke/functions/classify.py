@@ -43,27 +43,33 @@ MONTH_NAMES = "january|february|march|april|may|june|july|august|september|octob
 
 def access_class(text: Column) -> Column:
     """Public access by the phrases of a page's text and meta contents; unknown without any."""
-    t = X.normalize_text(F.coalesce(text, F.lit("")))
-    spared = X.any_phrase(t, NOT_REQUIRED)
-    return (
-        F.when(X.any_phrase(t, PAYWALLED), "paywalled")
-        .when(X.any_phrase(t, LOGIN), "institution_login")
-        .when(~spared & X.any_phrase(t, REGISTRATION), "registration_required")
-        .when(X.any_phrase(t, OPEN) | spared, "open")
-        .otherwise("unknown")
-    )
+
+    def choice(t: Column) -> Column:
+        spared = X.any_phrase(t, NOT_REQUIRED)
+        return (
+            F.when(X.any_phrase(t, PAYWALLED), "paywalled")
+            .when(X.any_phrase(t, LOGIN), "institution_login")
+            .when(~spared & X.any_phrase(t, REGISTRATION), "registration_required")
+            .when(X.any_phrase(t, OPEN) | spared, "open")
+            .otherwise("unknown")
+        )
+
+    return X.let(X.normalize_text(F.coalesce(text, F.lit(""))), choice)
 
 
 def event_type(text: Column) -> Column:
     """The event type that a text names; unknown without any."""
-    t = X.normalize_text(F.coalesce(text, F.lit("")))
-    found = None
-    for name, phrases in TYPE_PHRASES:
-        hit = F.lit(False)
-        for p in phrases:
-            hit = hit | t.contains(p)
-        found = F.when(hit, name) if found is None else found.when(hit, name)
-    return found.otherwise("unknown")
+
+    def choice(t: Column) -> Column:
+        found = None
+        for name, phrases in TYPE_PHRASES:
+            hit = F.lit(False)
+            for p in phrases:
+                hit = hit | t.contains(p)
+            found = F.when(hit, name) if found is None else found.when(hit, name)
+        return found.otherwise("unknown")
+
+    return X.let(X.normalize_text(F.coalesce(text, F.lit(""))), choice)
 
 
 def video_platform(url: Column) -> Column:

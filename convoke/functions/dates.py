@@ -13,6 +13,8 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: Month names that dates are written with.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 _DAY, _MONTH, _YEAR = r"(\d{1,2})(?:st|nd|rd|th)?", "([A-Za-z]+)", r"(\d{4})"
@@ -30,11 +32,6 @@ def month_number(name: Column) -> Column:
     return found
 
 
-def let(value: Column, fn: Callable[[Column], Column]) -> Column:
-    """fn of a value that is computed once, however often fn uses it."""
-    return F.get(F.transform(F.array(value), fn), F.lit(0))
-
-
 def checked_date(year: Column, month: Column, day: Column) -> Column:
     """The calendar date, or null if there is none."""
     text = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(day.cast("string"), 2, "0"))
@@ -59,6 +56,12 @@ def _form(text: Column, pattern: str, n: int, make: Callable[..., Column]) -> Co
     return F.when(text.rlike(whole), let(groups, lambda g: make(*[F.get(g, F.lit(k)) for k in range(n)])))
 
 
+def unknown(text: Column) -> Column:
+    """A date that a text doesn't tell."""
+    none = F.lit(None).cast("date")
+    return F.struct(none.alias("start"), none.alias("end"), F.lit(None).cast("string").alias("timezone"), text.alias("original_text"), F.lit("unknown").alias("precision")).cast(TYPE)
+
+
 def parse_date(text: Column, year_hint: Column | None = None) -> Column:
     """start, end, timezone, original_text and precision (day, range or unknown); null text gives null.
 
@@ -110,10 +113,11 @@ def _first_form(t: Column, hint: Column | None) -> Column:
 
 def parse_date_with_reference(text: Column, today: Column) -> Column:
     """parse_date with today's year as the hint; a date without a year that is over moves to the next year."""
-    both = F.struct(parse_date(text, F.year(today)).alias("first"), parse_date(text, F.year(today) + 1).alias("rolled"))
+    years = F.array(F.year(today), F.year(today) + 1)
+    both = F.transform(years, lambda year: parse_date(text, year))
 
     def choice(d: Column) -> Column:
-        first, rolled = d["first"], d["rolled"]
+        first, rolled = F.get(d, F.lit(0)), F.get(d, F.lit(1))
         over = (first["precision"] != "unknown") & (F.coalesce(first["end"], first["start"]) < today) & (rolled["precision"] != "unknown")
         return F.when(F.coalesce(over, F.lit(False)), rolled).otherwise(first)
 

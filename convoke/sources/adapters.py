@@ -84,10 +84,9 @@ def linked_stubs(docs: DataFrame) -> DataFrame:
 
 
 def first_date(texts: Column, today: Column | None = None) -> Column:
-    """The first of up to three texts that is a date."""
+    """The first of the texts that is a date."""
     read = (lambda t: D.parse_date_with_reference(t, today)) if today is not None else D.parse_date
-    tries = [read(F.get(texts, F.lit(k))) for k in range(3)]
-    return F.coalesce(*[F.when(t["precision"] != "unknown", t) for t in tries])
+    return F.get(F.filter(F.transform(texts, read), lambda d: d["precision"] != "unknown"), F.lit(0))
 
 
 def configured_stubs(docs: DataFrame) -> DataFrame:
@@ -148,7 +147,7 @@ def scaffold(rows: DataFrame, title: Column, date: Column, **given: Column) -> D
     return rows.select(
         X.deterministic_id(X.normalize_name(title), canonical).alias("id"), title.alias("title"), F.col("url"),
         given.get("event_type", C.event_type(title)).alias("event_type"), given.get("status", F.lit("unknown")).alias("status"),
-        F.coalesce(date, D.parse_date(F.lit(""))).alias("date"),
+        F.coalesce(date, D.unknown(F.lit(""))).alias("date"),
         F.when(place.isNotNull(), F.struct(place.alias("name"), _none().alias("city"), _none().alias("country"), _none().alias("venue")).cast(LOCATION)).alias("location"),
         given.get("description", _none()).alias("description"), array(TOPIC).alias("topics"), given.get("people", array(PERSON)).alias("people"),
         given.get("talks", array(TALK)).alias("talks"), given.get("media", array(MEDIA)).alias("media"), access.alias("access"),
