@@ -61,7 +61,7 @@ def absent_names(table: DataFrame, key: str, prefix: str, names: DataFrame, name
 
     Names are cut at each length that a prefix has, so it is an equality join.
     """
-    lengths = [r[0] for r in table.select(F.length(prefix)).distinct().limit(1000).collect() if r[0]]
+    lengths = [r[0] for r in table.select(F.length(prefix)).distinct().collect() if r[0]]
     if not lengths:
         return table.select(key, prefix)
     cut = names.select(F.explode(F.array(*[F.when(F.length(name) >= n, F.left(F.col(name), F.lit(n))) for n in lengths])).alias(prefix)).distinct()

@@ -170,11 +170,12 @@ def robots_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.robots_decisions(requests, rules).select(F.col("url").cast("long").alias("page_id"), "allowed")
 
 
-@query("host_allowed", r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) LIKE '%.example.com' AND regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) IN (SELECT regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) FROM pages WHERE url LIKE '%.example.com/%') AS allowed FROM pages")
+@query("host_allowed", r"SELECT page_id, page_id % 3 < 2 OR regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) LIKE 'blog.%' AS allowed FROM pages")
 def host_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").withColumn("host", U.host(F.col("url")))
-    hosts = pages.filter(F.col("host").endswith(".example.com")).agg(F.collect_set("host").alias("hosts"))
-    return pages.join(F.broadcast(hosts)).select("page_id", W.host_allowed(F.col("url"), F.col("hosts")).alias("allowed"))
+    """Pages under a list of their own: empty, with their host, or with it only if it is a blog."""
+    host, kind = U.host(F.col("url")), F.col("page_id") % 3
+    hosts = F.when(kind == 0, F.array().cast("array<string>")).when((kind == 1) | host.startswith("blog."), F.array(F.lit("x.org"), host)).otherwise(F.array(F.lit("x.org")))
+    return table(spark, sf_dir, "pages").select("page_id", W.host_allowed(F.col("url"), hosts).alias("allowed"))
 
 
 @query("request_budget", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 2 <= 8")

@@ -50,7 +50,7 @@ def violations(specs: DataFrame) -> DataFrame:
     """(ord, rule, id) of every broken rule; rules are numbered in the order in which they are told."""
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     repeated = specs.groupBy("id").agg(F.min("ord").alias("first_ord"))
-    rows = specs.join(F.broadcast(repeated), "id", "left")
+    rows = specs.join(repeated, "id", "left")
     on, configured = F.col("enabled"), F.col("adapter") == "html_config"
     rules = [
         ("duplicate id", F.col("ord") > F.col("first_ord")),
