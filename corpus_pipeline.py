@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from convoke.llm.decontaminate import drop_contaminated
+from convoke.llm.nearcopies import drop_near_copies
 from convoke.llm.packing import pack
 from convoke.llm.quality import keep_good
 from convoke.llm.secrets import redact
-from convoke.llm.simhash import drop_near_duplicates
 from convoke.plans.tables import shared, written
 
 
@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near copies (five-word Jaccard of 0.8 or more): the one with the smallest doc_id."""
+    return drop_near_copies(docs)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
