@@ -7,16 +7,21 @@ that end in each state.
 
 A buffer is cut into lanes that step together.  Each lane first assumes the
 state after a line break; where its predecessor ends in another one, it is run
-again until both runs agree.  So the result is that of a single pass.
+again until both runs agree; a state that goes on through many lanes (a long run
+of one kind) is carried through them together.  So the result is that of a single pass.
 """
 
 from __future__ import annotations
 
 from collections import deque
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 
+#: Rounds in which all lanes that began wrongly are run again.
+TURNS = 4
+
 
 class _Parser:
     """Literals, \\xHH, [sets], groups, |, ?, *, + and {m}, {m,}, {m,n}."""
@@ -167,11 +172,14 @@ class Automaton:
             np.take(self.next, now + columns[t], out=now)
             states[t] = now
         assumed = np.full(lanes, self.start, np.int32)
-        while True:
+        for turn in count():
             begin = np.concatenate([[self.start], states[-1, :-1]]).astype(np.int32)
             lane = np.flatnonzero(begin != assumed)
             if not len(lane):
                 break
+            if turn >= TURNS:
+                self._carry(columns, states, assumed, int(lane[0]), int(begin[lane[0]]))
+                continue
             assumed = begin
             now = begin[lane]
             for t in range(steps):
@@ -187,6 +195,22 @@ class Automaton:
         order = np.argsort(at, kind="stable")
         return at[order], found[t, lane][order]
 
+    def _carry(self, columns: np.ndarray, states: np.ndarray, assumed: np.ndarray, lane: int, state: int) -> None:
+        """Takes a state through lanes that end in it again, more of them at a time, and through the first one that doesn't."""
+        many = 8
+        while lane < states.shape[1]:
+            own = np.arange(lane, min(lane + many, states.shape[1]))
+            now, made = np.full(len(own), state, np.int32), np.empty((len(states), len(own)), np.int32)
+            for t in range(len(states)):
+                now = self.next[now + columns[t, own]]
+                made[t] = now
+            other = np.flatnonzero(now != state)
+            good = int(other[0]) + 1 if len(other) else len(own)
+            states[:, own[:good]], assumed[own[:good]] = made[:, :good], state
+            if len(other):
+                return
+            lane, many = lane + good, 2 * many
+
 
 def compiled(patterns: list[str]) -> Automaton:
     """The minimal automaton that tells, at each byte, which patterns have a match ending there."""

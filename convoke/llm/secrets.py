@@ -7,19 +7,23 @@ that are too short are dropped:
 - access: AKIA and capitals or digits, 20 or more characters;
 - hex: 24 or more lower-case hexadecimal digits.
 
-The automaton (see ``automaton``) reads each byte once and tells where a rule's
-match ends.  For access and hex its runs of ends are the spans.  For assign it
-tells the lines with a match; within these the base spans are read out, and
-matches that begin inside another one (which leftmost matching passes over) are
-added.  No rule's match holds a line break.
-
-Offsets count code points; a null text is empty and has no spans.  Rows with the
-same doc_id are rows of their own.
+The automaton (see ``automaton``) reads each byte once and tells which rules end
+there; spans are read out of these ends alone.  For access and hex, a run of ends
+is a span.  For assign there are rules for the names by their length, for a name
+with its joint and for a name with joint and value: a run of joint ends follows
+the last name end before it, the value begins after that run, and the run of
+value ends there is the value.  Of these matches the leftmost non-overlapping
+ones are base (short values keep their place but are dropped); all others with a
+value that is long enough begin inside one of them and are added.  So a span
+depends on its own line only, and work is linear.  No match holds a line break.
+
+Offsets count code points; a null or empty text has no spans.  Texts of any
+length are scanned whole.  Rows with the same doc_id are rows of their own; an
+empty table gives none.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -43,13 +47,14 @@ def _either_case(name: str) -> str:
 
 
 NAME = "|".join(map(_either_case, NAMES))
-ASSIGN = re.compile(f"({NAME}){JOINT}({VALUE}+)".encode())
-NAMED = re.compile(f"(?=({NAME}))".encode())
+#: Rules by bit: the kinds, then a name with its joint, then names by their length.
+_JOINED, _NAMED = 3, {4: ("token",), 5: ("passwd", "secret", "apikey"), 6: ("api_key",), 7: ("password",)}
 
 
 @cache
 def automaton() -> Automaton:
-    return compiled([f"({NAME}){JOINT}{VALUE}{{{LEAST['assign']},}}", f"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}", f"[0-9a-f]{{{LEAST['hex']},}}"])
+    kinds = [f"({NAME}){JOINT}{VALUE}+", f"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}", f"[0-9a-f]{{{LEAST['hex']},}}"]
+    return compiled([*kinds, f"({NAME}){JOINT}", *("|".join(map(_either_case, own)) for own in _NAMED.values())])
 
 
 def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,26 +65,27 @@ def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[np.concatenate([[0], new + 1])], at[np.concatenate([new, [len(at) - 1]])]
 
 
-def _assigned(raw: bytes, first: np.ndarray, last: np.ndarray) -> list[tuple[int, int, bool]]:
-    """Spans (start, end, base) on the lines that hold the runs of ends."""
-    found, k = [], 0
-    while k < len(first):
-        begin, end = raw.rfind(b"\n", 0, int(first[k])) + 1, raw.find(b"\n", int(first[k]))
-        end = len(raw) if end < 0 else end
-        own = []
-        for m in ASSIGN.finditer(raw, begin, end):
-            if m.end(2) - m.start(2) >= LEAST["assign"]:
-                own.append((m.start(), m.end(), True))
-        ends = {b - 1 for _, b, _ in own}
-        to = k + int(np.searchsorted(first[k:], end))
-        if any(int(x) not in ends for x in last[k:to]):
-            known = {a for a, _, _ in own}
-            for name in NAMED.finditer(raw, begin, end):
-                m = ASSIGN.match(raw, name.start(), end)
-                if m and m.start() not in known and m.end(2) - m.start(2) >= LEAST["assign"]:
-                    own.append((m.start(), m.end(), False))
-        found += own
-        k = to
+def _assigned(at: np.ndarray, ending: np.ndarray) -> list[tuple[int, int, bool]]:
+    """Spans (start, end, base) from the ends of all rules."""
+    first, last = _runs(at[ending >> _JOINED & 1 == 1])
+    values, stops = _runs(at[ending & 1 == 1])
+    # The value's run that holds the position after the joint, if there is one.
+    run = np.searchsorted(values, last + 1, "right") - 1
+    ok = (run >= 0) & (stops[run] >= last + 1) if len(values) else np.zeros(len(last), bool)
+    first, begin, end = first[ok], last[ok] + 1, stops[run[ok]] + 1 if len(values) else first[:0]
+    named = ending >> 4 > 0
+    names, kinds = at[named], ending[named]
+    near = np.searchsorted(names, first) - 1
+    length = np.zeros(len(first), np.int64)
+    for bit, own in _NAMED.items():
+        length[kinds[near] >> bit & 1 == 1] = len(own[0])
+    found, done = [], 0
+    for a, b, long in zip((names[near] - length + 1).tolist(), end.tolist(), (end - begin >= LEAST["assign"]).tolist(), strict=True):
+        base = a >= done
+        if base:
+            done = b
+        if long:
+            found.append((a, b, base))
     return found
 
 
@@ -90,10 +96,10 @@ def spans(texts: list[bytes], rules: Automaton | None = None) -> list[list[tuple
     at, ending = (rules or automaton()).hits(data)
     found: list[tuple[int, int, int, bool]] = []
     for k, kind in enumerate(KINDS):
-        first, last = _runs(at[ending >> k & 1 == 1])
         if kind == "assign":
-            found += [(a, b, k, base) for a, b, base in _assigned(raw, first, last)]
+            found += [(a, b, k, base) for a, b, base in _assigned(at, ending)]
         else:
+            first, last = _runs(at[ending >> k & 1 == 1])
             found += [(a - LEAST[kind] + 1, b + 1, k, True) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
     begins = np.cumsum([0] + [len(t) + 1 for t in texts])
     out: list[list[tuple[int, int, int, bool]]] = [[] for _ in texts]
