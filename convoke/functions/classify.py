@@ -37,7 +37,8 @@ NAVIGATION = ["home", "about", "contact", "login", "sign in", "register", "sign
 EVENT_WORDS = ["conference", "workshop", "seminar", "lecture", "summer school", "winter school", "spring school", "colloquium", "panel", "mini course", "minicourse", "short course", "research program", "research programme", "thematic program", "award lecture", "prize lecture", "memorial", "symposium", "meeting", "school"]
 VIDEO_FILES = ["mp4", "webm", "mkv", "mov", "avi", "m4v"]
 AUDIO_FILES = ["mp3", "ogg", "opus", "wav", "m4a", "aac", "flac"]
-VIDEO_HOSTS = ["youtube.com", "www.youtube.com", "m.youtube.com", "youtu.be", "www.youtube-nocookie.com", "youtube-nocookie.com"]
+VIDEO_HOSTS = ["youtube.com", "youtu.be", "youtube-nocookie.com"]
+VIDEO_FAMILIES = [".youtube.com", ".youtube-nocookie.com"]
 MONTH_NAMES = "january|february|march|april|may|june|july|august|september|october|november|december"
 
 
@@ -72,10 +73,18 @@ def event_type(text: Column) -> Column:
     return X.let(X.normalize_text(F.coalesce(text, F.lit(""))), choice)
 
 
+def tube_host(host: Column) -> Column:
+    """Whether a host, or the family of hosts that it is of, shows hosted videos."""
+    found = host.isin(VIDEO_HOSTS)
+    for family in VIDEO_FAMILIES:
+        found = found | host.endswith(family)
+    return found
+
+
 def video_platform(url: Column) -> Column:
     """youtube, vimeo, bilibili or null."""
     host, path = U.host(url), U.path(url)
-    tube = host.isin(VIDEO_HOSTS) & ((host == "youtu.be") | (path == "/watch") | path.startswith("/watch/") | path.contains("/embed/") | path.contains("/shorts/"))
+    tube = tube_host(host) & ((host == "youtu.be") | (path == "/watch") | path.startswith("/watch/") | path.contains("/embed/") | path.contains("/shorts/"))
     return (
         F.when(tube, "youtube")
         .when((host == "vimeo.com") | host.endswith(".vimeo.com"), "vimeo")
@@ -110,7 +119,7 @@ def canonical_media_url(url: Column) -> Column:
         F.nullif(F.regexp_extract(url, rf"/(?:embed|shorts)/{code}", 1), F.lit("")),
         F.nullif(F.regexp_extract(url, rf"[?&]v={code}", 1), F.lit("")),
     )
-    return F.when(host.isin(VIDEO_HOSTS) & found.isNotNull(), F.concat(F.lit("https://www.youtube.com/watch?v="), found)).otherwise(url)
+    return F.when(tube_host(host) & found.isNotNull(), F.concat(F.lit("https://www.youtube.com/watch?v="), found)).otherwise(url)
 
 
 def is_navigation(text: Column, href: Column) -> Column:

@@ -39,6 +39,16 @@ def normalize_name(name: Column) -> Column:
     return normalize_text(_composed(name))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _all_composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda ts: None if ts is None else [t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in ts])
+
+
+def normalize_names(names: Column) -> Column:
+    """normalize_name of each name of a list."""
+    return F.transform(_all_composed(names), normalize_text)
+
+
 def word_list(text: Column) -> Column:
     """The words of a text, case kept: runs of letters, marks and digits, with inner apostrophes and dots."""
     return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}\p{N}_]+(?:['’.][\p{L}\p{M}\p{N}_]+)*"), 0)
@@ -107,13 +117,13 @@ def _blank(c: Column) -> Column:
 def location_key(location: Column) -> Column:
     """The first of city, venue and name that isn't blank, normalized."""
     choice = F.coalesce(*[F.when(~_blank(location[k]), location[k]) for k in ("city", "venue", "name")])
-    return normalize_text(choice)
+    return normalize_name(choice)
 
 
 def organizer_key(people: Column, first_source_host: Column) -> Column:
     """The first organizer's name, normalized, or else the domain of the first source."""
     own = F.filter(people, lambda p: p["role"] == "organizer")
-    return F.coalesce(normalize_text(F.get(own, F.lit(0))["canonical_name"]), domain_key(first_source_host))
+    return F.coalesce(normalize_name(F.get(own, F.lit(0))["canonical_name"]), domain_key(first_source_host))
 
 
 def truncated(text: Column, most: int) -> Column:

@@ -53,12 +53,18 @@ def top_events(events: DataFrame, most: int | None) -> DataFrame:
 def talk_budget(events: DataFrame, most: int = TALKS) -> DataFrame:
     """Events in order while the talks before them are below the budget; the crossing one is cut.
 
-    With a budget of 0 all events stay, without talks.  The running total is over
-    the output of a top-k, which bounds it.
+    With a budget of 0 all events stay, without talks.  The running total is over the
+    first events with talks, of which no more than the budget can matter.
     """
     if most == 0:
         return events.withColumn("talks", F.slice("talks", 1, 0))
     n = F.coalesce(F.when(F.col("talks").isNotNull(), F.size("talks")), F.lit(0))
-    before = F.coalesce(F.sum(n).over(Window.orderBy(F.desc("score"), F.asc("id")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = events.withColumn("_before", before).filter(F.col("_before") < most)
-    return rows.withColumn("talks", F.slice("talks", F.lit(1), F.greatest(F.lit(0), F.lit(most) - F.col("_before")).cast("int"))).drop("_before")
+    talked = ranked(events.select("score", "id", n.alias("n")).filter("n > 0")).limit(most)
+    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("score"), F.asc("id")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    crossing = talked.withColumn("before", before).filter((F.col("before") < most) & (F.col("before") + F.col("n") >= most))
+    one = crossing.agg(F.first("score").alias("_score"), F.first("id").alias("_id"), F.first(F.lit(most) - F.col("before")).cast("int").alias("_left"))
+    rows = events.crossJoin(F.broadcast(one))
+    last = (F.col("score") == F.col("_score")) & (F.col("id") == F.col("_id"))
+    early = F.col("_id").isNull() | (F.col("score") > F.col("_score")) | last | ((F.col("score") == F.col("_score")) & (F.col("id") < F.col("_id")))
+    rows = rows.filter(F.coalesce(early, F.lit(False)))
+    return rows.withColumn("talks", F.when(last, F.slice("talks", F.lit(1), F.col("_left"))).otherwise(F.col("talks"))).select(events.columns)

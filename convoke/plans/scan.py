@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
+from ..functions import urls as U
 from ..operators import changes as G
 from ..operators import dedup, enrich, health, limits
 from ..schemas import CHANGE, EVENT, schema
@@ -65,29 +66,74 @@ class Scan:
     changes: DataFrame
 
 
+def _specs(registries: Registries) -> tuple[DataFrame, list[str]]:
+    """The enabled sources and the adapters in use."""
+    specs = registry.enabled(registry.validated(registries.sources))
+    used = sorted(r[0] for r in specs.select("adapter").distinct().collect())
+    if not used:
+        raise ScanError(4, "no source is enabled")
+    return specs, used
+
+
+def discovered(specs: DataFrame, used: list[str], listings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stubs (listed: they have no page of their own), plans of their pages, and (source, message) of listings that can't be read."""
+    found = written(adapters.discover(listings.filter(F.col("error").isNull()), specs, used))
+    broken = found.filter(F.col("error").isNotNull()).groupBy("source").agg(F.min("error").alias("message"))
+    stubs = limits.capped_stubs(found.filter(F.col("error").isNull()).drop("error"))
+    asks = specs.select(F.col("id").alias("source"), "max_depth", (F.coalesce("media_strategy", F.lit("")) == "youtube_channel").alias("channel"))
+    rows = stubs.join(asks, "source").withColumn("listed", web.is_listed(F.col("url"), F.col("source_url")) | F.col("channel"))
+    rows = written(rows.drop("channel"))
+    plans = web.detail_plans(rows.filter("NOT listed"), F.col("max_depth"))
+    return rows.drop("max_depth"), plans, broken
+
+
 def collected(registries: Registries, listings: DataFrame, pages: DataFrame, now: datetime.datetime) -> tuple[DataFrame, DataFrame]:
     """Events (with source and stub_ord) and health of all enabled sources from their documents.
 
     Documents have source, url, final_url, status, content_type, body, fetched_at and error.
     """
-    specs = registry.enabled(registry.validated(registries.sources))
-    used = sorted(r[0] for r in specs.select("adapter").distinct().collect())
-    if not used:
-        raise ScanError(4, "no source is enabled")
+    specs, used = _specs(registries)
+    stubs, plans, broken = discovered(specs, used, listings)
+    return _enriched(specs, used, listings, stubs, plans, broken, pages, now)
+
+
+def crawled(registries: Registries, transport: web.Transport, now: datetime.datetime, policy: web.Policy | None = None) -> tuple[DataFrame, DataFrame]:
+    """collected, with all documents fetched: listings, then the pages that stubs plan, within each source's hosts, robots rules, budget and depth."""
+    specs, used = _specs(registries)
+    hosts = F.when(F.size("allowed_hosts") > 0, F.col("allowed_hosts")).otherwise(F.array(U.host(F.col("entrypoint"))))
+    own = specs.select(F.col("id").alias("source"), F.col("entrypoint").alias("url"), hosts.alias("allowed_hosts"), "request_budget")
+    listings = written(web.documents(own.withColumn("ord", F.lit(0).cast("long")), transport, now, policy))
+    stubs, plans, broken = discovered(specs, used, listings)
+    told = listings.select("source", F.col("requests").alias("spent"), "rules")
+    # Beyond its budget a source asks for nothing: those plans are errors without a request.
+    pages = written(web.documents(plans.join(own.drop("url"), "source").join(told, "source"), transport, now, policy))
+    return _enriched(specs, used, listings.drop("requests", "rules"), stubs, plans, broken, pages.drop("requests", "rules"), now)
+
+
+def _enriched(specs: DataFrame, used: list[str], listings: DataFrame, stubs: DataFrame, plans: DataFrame, broken: DataFrame, pages: DataFrame, now: datetime.datetime) -> tuple[DataFrame, DataFrame]:
     at = F.lit(now).cast("timestamp")
-    stubs = written(limits.capped_stubs(adapters.discover(listings.filter(F.col("error").isNull()), specs, used)))
-    depth = specs.select(F.col("id").alias("source"), "max_depth")
-    plans = web.detail_plans(stubs.join(F.broadcast(depth), "source"), F.col("max_depth"))
     asked = plans.groupBy("source").agg(F.count("*").alias("asked"))
-    # A source without any plan is enriched from its listing.
-    own = listings.filter(F.col("error").isNull()).join(asked.select("source"), "source", "left_anti")
-    events = adapters.enrich(stubs.drop("cut"), pages.unionByName(own.select(pages.columns)), specs, used, at)
+    # A stub without any plan is enriched from its listing.
+    own = listings.filter(F.col("error").isNull()).join(stubs.filter("listed").select("source").distinct(), "source", "left_semi")
+    own = own.withColumn("url", F.coalesce("final_url", "url")).select(pages.columns)
+    made = written(adapters.enrich(stubs.drop("cut"), pages.unionByName(own).dropDuplicates(["source", "url"]), specs, used, at))
     lost = pages.filter(F.col("error").isNotNull()).groupBy("source").agg(F.count("*").alias("failed"))
-    count = stubs.groupBy("source").agg(F.count("*").alias("events"), F.max("cut").alias("cut"))
+    unread = made.filter("broken").groupBy("source").agg(F.count("*").alias("unread"))
+    events = made.filter("NOT broken").drop("broken")
+    count = events.groupBy("source").agg(F.count("*").alias("events"))
+    cut = stubs.groupBy("source").agg(F.count("*").alias("stubs"), F.max("cut").alias("cut"))
     first = listings.groupBy("source").agg(F.first("error", ignorenulls=True).alias("error"), F.count("*").alias("entries"))
-    rows = first.join(count, "source", "left").join(lost, "source", "left").join(asked, "source", "left").fillna(0, ["events", "failed", "asked"])
-    status = F.coalesce(health.error_status(F.col("error")), F.when((F.col("failed") > 0) | F.coalesce("cut", F.lit(False)), "partial").otherwise("ok"))
-    results = rows.select("source", status.alias("status"), F.lit(0).cast("long").alias("duration_ms"), (F.col("entries") + F.col("asked")).cast("int").alias("requests"), F.col("events").cast("int").alias("events"), F.col("error").alias("message"), at.alias("recorded_at"))
+    rows = first
+    for other in (count, cut, lost, unread, asked, broken):
+        rows = rows.join(other, "source", "left")
+    rows = rows.fillna(0, ["events", "stubs", "failed", "unread", "asked"]).fillna(False, ["cut"])
+    failed = F.col("failed") + F.col("unread")
+    # A listing that can't be read says nothing about its events: that is no empty source.
+    status = F.coalesce(health.error_status(F.col("error")), F.when(F.col("message").isNotNull(), "parse_error"), health.source_status(F.col("stubs"), F.col("events"), failed, F.col("unread"), F.col("cut")))
+    results = rows.select(
+        "source", status.alias("status"), F.lit(0).cast("long").alias("duration_ms"), (F.col("entries") + F.col("asked")).cast("int").alias("requests"),
+        F.col("events").cast("int").alias("events"), F.coalesce("error", "message").alias("message"), at.alias("recorded_at"),
+    )
     return events, health.with_missing(specs, results).withColumn("recorded_at", F.coalesce("recorded_at", at))
 
 
@@ -110,9 +156,17 @@ def shown(events: DataFrame, query: Query) -> DataFrame:
 
 
 def run(registries: Registries, listings: DataFrame, pages: DataFrame, query: Query, now: datetime.datetime, store: ScanStore | None = None) -> Scan:
-    """A whole scan.  State, if any, takes all events before the window hides some."""
-    spark = listings.sparkSession
-    events, found = collected(registries, listings, pages, now)
+    """A whole scan over collected documents.  State, if any, takes all events before the window hides some."""
+    return _finished(registries, *collected(registries, listings, pages, now), query, now, store)
+
+
+def crawl(registries: Registries, transport: web.Transport, query: Query, now: datetime.datetime, store: ScanStore | None = None, policy: web.Policy | None = None) -> Scan:
+    """A whole scan that fetches its documents through a transport."""
+    return _finished(registries, *crawled(registries, transport, now, policy), query, now, store)
+
+
+def _finished(registries: Registries, events: DataFrame, found: DataFrame, query: Query, now: datetime.datetime, store: ScanStore | None) -> Scan:
+    spark = events.sparkSession
     kept = written(limits.capped_candidates(events))
     found = written(limits.recounted(found, kept))
     if not health.usable(found):

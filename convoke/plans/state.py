@@ -1,8 +1,17 @@
-"""Stored scans: versioned snapshots of events, tombstones, health and changes.
-
-A commit writes the four tables into a new folder and then moves the pointer
-file, which is one rename; readers see the old version or the new one, whole.
-Writers that find the version moved meanwhile fail.  ``now`` is always given.
+"""Stored scans: versioned events, tombstones, health and changes.
+
+A commit writes its tables into a new folder and then creates the next version's
+pointer file, ``CURRENT.<version>``, which must not exist: the file is written under
+another name and renamed without overwriting.  Nothing that readers use is ever
+deleted or replaced, so they see the old version or the new one, whole, and a
+crash between any two steps leaves the old one.  Of two writers on one version
+the second finds the file there and fails.  ``now`` is always given.
+
+Events and tombstones are whole in each version.  Health and changes are logs: a
+version adds a folder of its own rows, and its pointer lists the folders that
+still hold rows within the retention; reads leave out what is older, and what a
+later folder has again.  When there are more than ``LOGS`` folders they are
+written as one.
 """
 
 from __future__ import annotations
@@ -17,14 +26,18 @@ from pyspark.sql import functions as F
 
 from ..operators import changes as G
 from ..schemas import CHANGE, EVENT, HEALTH, schema
+from .tables import drop, exists, names, put_once, read_text
 
-SCHEMA_VERSION, RETENTION_DAYS = 3, 90
+SCHEMA_VERSION, RETENTION_DAYS, LOGS = 3, 90, 32
 TABLES = {
     "events": EVENT,
     "tombstones": "id string, first_seen_at timestamp, cancelled_at timestamp",
     "health": HEALTH,
     "changes": CHANGE,
 }
+#: Tables that grow by rows, and what tells their rows apart.
+LOG_KEYS = {"health": ["source", "recorded_at"], "changes": ["detected_at", "event_id", "kind", "detail"]}
+LOG_TIMES = {"health": "recorded_at", "changes": "detected_at"}
 
 
 class StateError(RuntimeError):
@@ -32,18 +45,15 @@ class StateError(RuntimeError):
 
 
 class ScanStore:
-    """The state under a folder; any file system that Spark reaches."""
+    """The state under a folder, on a file system whose rename never overwrites (local folders get a link instead)."""
 
     def __init__(self, spark: SparkSession, path: str, read_only: bool = False) -> None:
         self.spark, self.path, self.read_only = spark, path.rstrip("/"), read_only
-        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(hadoop)
         found = self.pointer()
         if found is None:
             if read_only:
                 raise StateError("there is no state to read")
-            self._point({"schema": SCHEMA_VERSION, "version": 0, "folder": None}, None)
+            self._point({"schema": SCHEMA_VERSION, "version": 0, "folder": None, "logs": {}, "scans": {}}, None)
         elif found["schema"] > SCHEMA_VERSION:
             raise StateError(f"state of schema {found['schema']} is newer than {SCHEMA_VERSION}")
         elif found["schema"] < SCHEMA_VERSION:
@@ -53,29 +63,25 @@ class ScanStore:
 
     # The pointer
 
+    def _versions(self) -> list[int]:
+        """Versions that have a pointer, in order."""
+        return sorted(int(n[8:]) for n in names(self.spark, self.path) if n.startswith("CURRENT.") and n[8:].isdigit())
+
     def pointer(self) -> dict[str, Any] | None:
-        """Schema, version and folder of the state; None if there is none."""
-        at = self._path(f"{self.path}/CURRENT")
-        if not self._fs.exists(at):
-            return None
-        stream = self._fs.open(at)
-        try:
-            text = bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-        return json.loads(text)
+        """Schema, version, folder and logs of the newest version; None if there is no state."""
+        known = self._versions()
+        # Older states have one pointer without a number.
+        name = f"CURRENT.{known[-1]}" if known else "CURRENT"
+        return self._pointed(name) if known or exists(self.spark, f"{self.path}/{name}") else None
+
+    def _pointed(self, name: str) -> dict[str, Any]:
+        return {"logs": {}, "scans": {}} | json.loads(read_text(self.spark, f"{self.path}/{name}"))
 
     def _point(self, to: dict[str, Any], seen: dict[str, Any] | None) -> None:
         if self.pointer() != seen:
             raise StateError("another writer was faster")
-        new, at = self._path(f"{self.path}/CURRENT.{to['version']}.new"), self._path(f"{self.path}/CURRENT")
-        stream = self._fs.create(new, True)
-        stream.write(bytearray(json.dumps(to).encode()))
-        stream.close()
-        if self._fs.exists(at):
-            self._fs.delete(at, False)
-        if not self._fs.rename(new, at):
-            raise StateError("the pointer could not be moved")
+        if not put_once(self.spark, f"{self.path}/CURRENT.{to['version']}", json.dumps(to)):
+            raise StateError("another writer was faster")
 
     def schema_version(self) -> int:
         found = self.pointer()
@@ -92,35 +98,66 @@ class ScanStore:
         self._commit(frames, old)
 
     def _has(self, pointer: dict[str, Any], name: str) -> bool:
-        return pointer["folder"] is not None and self._fs.exists(self._path(f"{self.path}/{pointer['folder']}/{name}"))
+        return bool(pointer["logs"].get(name)) or pointer["folder"] is not None and exists(self.spark, f"{self.path}/{pointer['folder']}/{name}")
 
     def _read(self, pointer: dict[str, Any], name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{pointer['folder']}/{name}")
+        """A table as a version has it, whatever its columns."""
+        return self.spark.read.parquet(*[f"{self.path}/{f}/{name}" for f in pointer["logs"].get(name, [pointer["folder"]])])
 
     def table(self, name: str) -> DataFrame:
         """One table of the current version; empty before the first commit."""
-        now = self.pointer()
-        if now is None or now["folder"] is None:
-            return self.spark.createDataFrame([], schema(TABLES[name]))
-        return self.spark.read.schema(schema(TABLES[name])).parquet(f"{self.path}/{now['folder']}/{name}")
+        return self._table(self.pointer(), name)
 
-    def _commit(self, frames: dict[str, DataFrame], seen: dict[str, Any]) -> None:
+    def _table(self, now: dict[str, Any] | None, name: str) -> DataFrame:
+        shape = schema(TABLES[name])
+        if now is None or now["folder"] is None:
+            return self.spark.createDataFrame([], shape)
+        if name not in LOG_KEYS:
+            return self.spark.read.schema(shape).parquet(f"{self.path}/{now['folder']}/{name}")
+        folders = now["logs"].get(name, [now["folder"]])
+        rows = None if folders else self.spark.createDataFrame([], shape)
+        for k, f in enumerate(folders):
+            own = self.spark.read.schema(shape).parquet(f"{self.path}/{f}/{name}").withColumn("_at", F.lit(k))
+            rows = own if rows is None else rows.unionByName(own)
+        if folders and now.get("cutoff"):
+            rows = rows.filter(F.col(LOG_TIMES[name]) >= F.lit(now["cutoff"]).cast("timestamp"))
+        if len(folders) > 1:
+            last = F.max(F.struct("_at", *[c for c in shape.names if c not in LOG_KEYS[name]])).alias("_row")
+            rows = rows.groupBy(*LOG_KEYS[name]).agg(last).select(*LOG_KEYS[name], "_row.*")
+        return rows.select(shape.names)
+
+    def _commit(self, frames: dict[str, DataFrame], seen: dict[str, Any], added: dict[str, DataFrame] | None = None, cutoff: datetime.datetime | None = None, scans: dict[str, str] | None = None) -> dict[str, Any]:
+        """Writes a version: whole tables, and rows added to logs (or whole logs among the frames); its pointer."""
         if self.read_only:
             raise StateError("the state is open for reading only")
         version = seen["version"] + 1
         folder = f"v{version:09d}-{uuid.uuid4().hex[:12]}"
-        for name, frame in frames.items():
+        logs = {}
+        for name in LOG_KEYS:
+            before = seen["logs"].get(name, [seen["folder"]] if seen["folder"] else [])
+            if added is not None and name in added and len(before) >= LOGS:
+                whole = self._table(seen | {"cutoff": str(cutoff) if cutoff else seen.get("cutoff")}, name)
+                frames = frames | {name: _latest(whole, added[name], name)}
+            logs[name] = [folder] if name in frames else [*before, folder] if added is not None and name in added else before
+        for name, frame in (frames | {n: f for n, f in (added or {}).items() if n not in frames}).items():
             out = frame.select(*[f.name for f in schema(TABLES[name]).fields]).write.mode("overwrite")
             (out.partitionBy("source") if name == "health" else out).parquet(f"{self.path}/{folder}/{name}")
-        self._point({"schema": SCHEMA_VERSION, "version": version, "folder": folder}, seen)
+        to = {"schema": SCHEMA_VERSION, "version": version, "folder": folder, "logs": logs, "cutoff": str(cutoff) if cutoff else seen.get("cutoff"), "scans": seen["scans"] if scans is None else scans}
+        self._point(to, seen)
+        return to
 
     def vacuum(self, keep: int = 2) -> None:
-        """Removes all but the newest versions' folders."""
-        now = self.pointer()["version"]
-        for s in self._fs.listStatus(self._path(self.path)):
-            name = s.getPath().getName()
-            if name[:1] == "v" and name[1:10].isdigit() and int(name[1:10]) <= now - keep:
-                self._fs.delete(s.getPath(), True)
+        """Removes pointers but the newest ones', and folders that none of those uses."""
+        known = self._versions()[-keep:]
+        used: set[str] = set()
+        for v in known:
+            found = self._pointed(f"CURRENT.{v}")
+            used |= {str(found["folder"])} | {f for own in found["logs"].values() for f in own}
+        for name in names(self.spark, self.path):
+            old = name.startswith("CURRENT.") and name[8:].isdigit() and int(name[8:]) not in known
+            # A folder beyond the newest version may be a commit that is under way.
+            if old or name[:1] == "v" and name[1:10].isdigit() and int(name[1:10]) <= (known or [0])[-1] and name not in used:
+                drop(self.spark, f"{self.path}/{name}")
 
     # Reads
 
@@ -141,21 +178,32 @@ class ScanStore:
     def store_event(self, event: DataFrame, now: datetime.datetime) -> None:
         """Puts single events in; first_seen_at stays as it was."""
         seen = self.pointer()
-        old = self.table("events")
+        old = self._table(seen, "events")
         first = old.select("id", F.col("first_seen_at").alias("_first"))
         new = event.join(first, "id", "left").withColumns({"first_seen_at": F.coalesce("_first", F.lit(now)), "last_seen_at": F.lit(now).cast("timestamp")}).drop("_first")
         rest = old.join(new.select("id"), "id", "left_anti")
-        self._commit({"events": rest.unionByName(new.select(old.columns)), **{n: self.table(n) for n in ("tombstones", "health", "changes")}}, seen)
+        self._commit({"events": rest.unionByName(new.select(old.columns)), "tombstones": self._table(seen, "tombstones")}, seen)
 
-    def store_scan(self, events: DataFrame, health: DataFrame, now: datetime.datetime) -> tuple[DataFrame, DataFrame]:
-        """Stores a scan's events and health in one commit; the stored events and what changed."""
+    def store_scan(self, events: DataFrame, health: DataFrame, now: datetime.datetime, scan_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """Stores a scan's events and health in one commit; the stored events and what changed.
+
+        ``scan_id``, if given, is kept with the commit, for the retention.
+        """
         if self.read_only:
             raise StateError("the state is open for reading only")
         seen = self.pointer()
-        parts = bundle(self.table("events"), self.table("tombstones"), self.table("health"), self.table("changes"), events, health, now)
-        self._commit(parts, seen)
-        stored = self.table("events").join(events.select("id"), "id", "left_semi")
-        return stored, self.table("changes").filter(F.col("detected_at") == F.lit(now))
+        parts = additions(self._table(seen, "events"), self._table(seen, "tombstones"), events, health, now)
+        logs = {n: parts.pop(n) for n in LOG_KEYS}
+        cutoff = now - datetime.timedelta(days=RETENTION_DAYS)
+        scans = {k: t for k, t in seen["scans"].items() if t >= cutoff.isoformat()} | ({scan_id: now.isoformat()} if scan_id is not None else {})
+        to = self._commit(parts, seen, logs, cutoff, scans)
+        stored = self._table(to, "events").join(events.select("id"), "id", "left_semi")
+        return stored, self._table(to, "changes").filter(F.col("detected_at") == F.lit(now))
+
+
+def _latest(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
+    """A log with rows added: a new row takes the place of one with its keys."""
+    return old.join(new.select(LOG_KEYS[name]), LOG_KEYS[name], "left_anti").unionByName(new.select(old.columns))
 
 
 def authoritative(health: DataFrame) -> DataFrame:
@@ -176,12 +224,11 @@ def first_seen(events: DataFrame, previous: DataFrame, tombstones: DataFrame, no
     return rows.withColumns({"first_seen_at": F.coalesce("_p", "_t", F.lit(now)), "last_seen_at": F.lit(now).cast("timestamp")}).drop("_p", "_t")
 
 
-def bundle(previous: DataFrame, tombstones: DataFrame, old_health: DataFrame, log: DataFrame, events: DataFrame, health: DataFrame, now: datetime.datetime) -> dict[str, DataFrame]:
-    """The four tables after a scan.
+def additions(previous: DataFrame, tombstones: DataFrame, events: DataFrame, health: DataFrame, now: datetime.datetime) -> dict[str, DataFrame]:
+    """events and tombstones after a scan, and the rows of health and changes that it adds.
 
     Unless every source was ok, absent events stay and are not cancelled.
     """
-    cutoff = F.lit(now - datetime.timedelta(days=RETENTION_DAYS))
     full = F.broadcast(authoritative(health))
     found = G.detect_changes(previous, events, now).crossJoin(full).filter("full OR kind <> 'event_cancelled'")
     absent = previous.join(events.select("id"), "id", "left_anti").crossJoin(full)
@@ -189,11 +236,17 @@ def bundle(previous: DataFrame, tombstones: DataFrame, old_health: DataFrame, lo
     kept = absent.filter("NOT full").select(previous.columns)
     dead = absent.filter("full AND first_seen_at IS NOT NULL").select("id", "first_seen_at", F.lit(now).cast("timestamp").alias("cancelled_at"))
     old = living(tombstones, now).join(events.select("id"), "id", "left_anti").join(dead.select("id"), "id", "left_anti")
-    added = found.select("event_id", "kind", "detected_at", F.translate("detail", "\x00", "").alias("detail"))
-    stamped = health.withColumn("recorded_at", F.coalesce("recorded_at", F.lit(now)))
     return {
         "events": stored.unionByName(kept),
         "tombstones": old.unionByName(dead),
-        "health": old_health.join(stamped.select("source", "recorded_at"), ["source", "recorded_at"], "left_anti").unionByName(stamped.select(old_health.columns)).filter(F.col("recorded_at") >= cutoff),
-        "changes": log.unionByName(added).dropDuplicates(["detected_at", "event_id", "kind", "detail"]).filter(F.col("detected_at") >= cutoff),
+        "health": health.withColumn("recorded_at", F.coalesce("recorded_at", F.lit(now))).select([f.name for f in schema(HEALTH).fields]),
+        "changes": found.select("event_id", "kind", "detected_at", F.translate("detail", "\x00", "").alias("detail")).distinct(),
     }
+
+
+def bundle(previous: DataFrame, tombstones: DataFrame, old_health: DataFrame, log: DataFrame, events: DataFrame, health: DataFrame, now: datetime.datetime) -> dict[str, DataFrame]:
+    """The four whole tables after a scan."""
+    cutoff = F.lit(now - datetime.timedelta(days=RETENTION_DAYS))
+    parts = additions(previous, tombstones, events, health, now)
+    whole = {"health": _latest(old_health, parts["health"], "health"), "changes": _latest(log, parts["changes"], "changes")}
+    return parts | {n: f.filter(F.col(LOG_TIMES[n]) >= cutoff) for n, f in whole.items()}

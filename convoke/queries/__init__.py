@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import dates, duplicates, names, scores, sourced, stateful  # noqa: E402, F401
+from . import crawls, dates, duplicates, names, scores, sourced, stateful  # noqa: E402, F401

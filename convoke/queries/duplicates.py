@@ -61,31 +61,39 @@ SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id, 'talk ' || o_custkey %
 
 
 @query("dup_signal_pairs", f"""
-WITH e AS ({_ORDERS}), p AS (
-  SELECT a.id AS a, b.id AS b, 0 AS s FROM e a JOIN e b ON a.url = b.url AND a.id < b.id
-  UNION ALL SELECT a.id, b.id, 1 FROM e a JOIN e b ON a.native = b.native AND a.source = b.source AND a.id < b.id
-  UNION ALL SELECT a.id, b.id, 2 FROM e a JOIN e b ON a.title = b.title AND a.day = b.day AND a.host = b.host AND a.id < b.id
-  UNION ALL SELECT a.id, b.id, 3 FROM e a JOIN e b ON a.title = b.title AND a.day = b.day AND a.place = b.place AND a.id < b.id)
-SELECT a, b, (['canonical_url', 'source_canonical_id', 'title_date_organizer', 'title_date_location'])[min(s) + 1] AS signal FROM p GROUP BY a, b
+WITH e AS ({_ORDERS}), k AS (
+  SELECT id, 'u' || url AS key FROM e
+  UNION ALL SELECT id, 'i' || source || '_' || native FROM e WHERE native IS NOT NULL
+  UNION ALL SELECT id, 'o' || title || '_' || day || '_' || host FROM e WHERE day IS NOT NULL
+  UNION ALL SELECT id, 'p' || title || '_' || day || '_' || place FROM e WHERE day IS NOT NULL),
+h AS (SELECT key, min(id) AS a FROM k GROUP BY key),
+l AS (SELECT DISTINCT a, id AS b FROM k JOIN h ON k.key = h.key WHERE id <> a)
+SELECT a, b, CASE WHEN x.url = y.url THEN 'canonical_url' WHEN x.native = y.native AND x.source = y.source THEN 'source_canonical_id'
+  WHEN x.title = y.title AND x.day = y.day AND x.host = y.host THEN 'title_date_organizer' ELSE 'title_date_location' END AS signal
+FROM l JOIN e x ON x.id = a JOIN e y ON y.id = b
 """)
 def dup_signal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.signal_pairs(_orders(spark, sf_dir))
+    """Orders as events, each with the least event of every key that it shares."""
+    return K.signal_links(_orders(spark, sf_dir))
 
 
 _PAGE_KEYS = r"""
-SELECT page_id, 'u' || regexp_replace(regexp_replace(lower(url), '^https?://(www\.)?', ''), '[?#].*$', '') AS k FROM pages
-UNION ALL SELECT page_id, 't' || lower(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')) FROM pages
+SELECT page_id, 'u' || u AS k FROM p
+UNION ALL SELECT page_id, 't' || title FROM p WHERE title IN (SELECT title FROM p WHERE u IN (SELECT u FROM p GROUP BY u HAVING count(*) > 1))
+"""
+_PAGES = r"""
+SELECT page_id, regexp_replace(regexp_replace(lower(url), '^https?://(www\.)?', ''), '[?#].*$', '') AS u, lower(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')) AS title FROM pages
 """
 
 
 @query("dedup_blocks", f"""
-WITH RECURSIVE k AS (SELECT DISTINCT * FROM ({_PAGE_KEYS})),
+WITH RECURSIVE p AS ({_PAGES}), k AS (SELECT DISTINCT * FROM ({_PAGE_KEYS})),
 e AS (SELECT DISTINCT a.page_id AS a, b.page_id AS b FROM k a JOIN k b ON a.k = b.k),
 r AS (SELECT DISTINCT a AS page_id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.page_id)
 SELECT page_id, min(root) AS least FROM r GROUP BY page_id
 """)
 def dedup_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that share an address or a heading, through any chain, with the smallest page of their block."""
+    """Undated pages that share an address, or a heading that a page with a shared address has, through any chain, with the smallest page of their block."""
     pages = table(spark, sf_dir, "pages")
     title = F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1)
     url = F.regexp_replace(F.regexp_replace("url", "^https?", "https"), "[?#].*$", "")
@@ -110,8 +118,34 @@ def dedup_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.array_min(F.transform("sources", lambda s: s["source_id"])).alias("first_id"), F.size("sources").cast("long").alias("sources"), F.col("score").cast("int").alias("score"))
 
 
-@query("dedup_events")
+_KIND = "o_custkey % 4"
+
+
+@query("dedup_events", f"""
+WITH e AS (
+  SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id, CAST(floor(o_totalprice / 10000) AS INT) AS score, {_KIND} AS kind,
+    CASE {_KIND} WHEN 0 THEN 'c' || o_custkey WHEN 1 THEN 'c' || o_custkey WHEN 2 THEN o_custkey % 200 || '_' || o_orderdate ELSE o_custkey % 200 || '_' || o_orderdate || '_' || o_orderstatus END AS g,
+    CASE WHEN {_KIND} >= 2 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS start FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY kind, g ORDER BY score DESC, id) AS n, count(*) OVER (PARTITION BY kind, g) AS c FROM e)
+SELECT id, score, CAST(c AS INTEGER) AS sources, start FROM r WHERE n = 1
+""")
 def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ordered fold over orders with all four signals; its blocks are checked against one plain fold in the tests."""
+    """Orders as events that one signal each makes duplicates: by customers' numbers, an address, a native id, title and day with host, or with place."""
+    rows, o = table(spark, sf_dir, "orders"), F.col
+    key, kind = F.lpad(o("o_orderkey").cast("string"), 12, "0"), o("o_custkey") % 4
+    customer = o("o_custkey").cast("string")
+    title = F.when(kind >= 2, F.concat(F.lit("Talk  "), (o("o_custkey") % 200).cast("string"), F.when(kind == 3, " b").otherwise(""))).otherwise(key)
+    host = F.when(kind == 3, F.concat(key, F.lit(".org/"))).otherwise(F.concat(F.lit("www.h1.org/"), key))
+    e = event_rows(
+        rows, id=key, title=title, url=F.concat(F.lit("https://e.org/"), F.when(kind == 0, F.concat(F.lit("c"), customer)).otherwise(key)),
+        date=_date(F.when(kind >= 2, F.to_date("o_orderdate"))), location=F.when(kind == 3, _place(F.concat(F.lit(" City "), o("o_orderstatus")))), score=F.floor(o("o_totalprice") / 10_000),
+        sources=_source(F.lit("s"), F.concat(F.lit("https://"), host), F.when(kind == 1, customer)),
+    )
+    return K.dedup(e).select("id", o("score").cast("int").alias("score"), F.size("sources").alias("sources"), o("date")["start"].cast("string").alias("start"))
+
+
+@query("dedup_fold")
+def dedup_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordered fold over orders with all four signals mixed; its blocks are checked against one plain fold in the tests."""
     done = K.dedup(_orders(spark, sf_dir))
     return done.select("id", F.col("score").cast("int").alias("score"), F.size("sources").alias("sources"), F.col("date")["start"].cast("string").alias("start"))

@@ -86,13 +86,18 @@ def score_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("score_reasons", f"""
-SELECT o_orderkey, (access IN (15, 12)) AS live, (people >= 5) AS important, (completeness >= 10) AS complete FROM ({_PARTS})
+WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos FROM lineitem),
+g AS (SELECT l_orderkey, string_agg('matched_topic: ' || CASE WHEN l_linenumber % 2 = 0 THEN 'even' ELSE 'odd' END, '; ' ORDER BY pos) AS topics,
+  bool_or(l_linestatus = 'O') AS open, arg_max('p' || l_suppkey, {_PERSON} * 1000 - pos) AS who, arg_max(l_linenumber, {_PERSON} * 1000 - pos) AS line FROM l GROUP BY 1)
+SELECT p.o_orderkey, concat_ws('; ', topics, CASE WHEN coalesce(open, false) THEN 'public_recording_available' END, CASE access WHEN 15 THEN 'livestream' WHEN 12 THEN 'hybrid' END,
+  CASE WHEN p.o_orderkey % 2 = 0 THEN 'major_research_institute' END,
+  CASE WHEN people >= 5 THEN CASE line WHEN 1 THEN 'important_speaker: ' WHEN 2 THEN 'important_organizer: ' ELSE 'important_person: ' END || who END, CASE WHEN completeness >= 10 THEN 'program_complete' END) AS reasons
+FROM ({_PARTS}) p LEFT JOIN g ON p.o_orderkey = g.l_orderkey
 """)
 def score_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, reasons = S.scored(F.lit(7))
-    rows = _events(spark, sf_dir).select("o_orderkey", reasons.alias("r"))
-    has = lambda x: F.exists("r", lambda v: v.startswith(x))
-    return rows.select("o_orderkey", (has("livestream") | has("hybrid")).alias("live"), has("important_").alias("important"), has("program_complete").alias("complete"))
+    """All reasons of orders as events, in order."""
+    _, _, reasons = S.scored(F.when(F.col("o_orderkey") % 2 == 0, 10).otherwise(7))
+    return _events(spark, sf_dir).select("o_orderkey", F.array_join(reasons, "; ").alias("reasons"))
 
 
 @query("rank_topk", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS rank FROM orders QUALIFY rank <= 100")

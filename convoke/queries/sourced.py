@@ -110,15 +110,21 @@ def html_config_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stubs.select(F.col("source").cast("int").alias("source"), "title", "url", F.col("date_hint")["start"].cast("string").alias("day"))
 
 
-@query("generic_links", r"""
-SELECT page_id, a AS title FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="(/[^"]+)">([^<]*)</a>', 2)) AS a FROM pages)
-WHERE regexp_matches(lower(a), '(19|20)[0-9]{2}|january|february|march|april|may|june|july|august|september|october|november|december|(^|[^\pL\pN])(conference|workshop|seminar|lecture|colloquium|panel|minicourse|memorial|symposium|meeting|school)([^\pL\pN]|$)')
-  AND lower(a) NOT IN ('home', 'about', 'contact', 'login', 'register', 'menu', 'navigation', 'search', 'help', 'faq', 'privacy', 'terms', 'sitemap', 'back', 'next', 'previous', 'more')
+@query("generic_links", """
+SELECT s_suppkey, 'Conference on ' || s_name AS title, 'https://g.org/e/' || s_suppkey AS url FROM supplier WHERE s_suppkey % 2 = 0
+UNION ALL SELECT s_suppkey, 'Notes of 2026', 'https://g.org/n' FROM supplier
+UNION ALL SELECT s_suppkey, 'Talks in March', 'https://other.org/m?a=1' FROM supplier WHERE s_suppkey % 3 = 0
 """)
 def generic_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    stubs = A.generic_stubs(_docs(pages, F.col("page_id"), F.col("url"), F.col("html")))
-    return stubs.select(F.col("source").cast("long").alias("page_id"), "title")
+    """Suppliers as pages: links to events by word, year and month, and links that are none: navigation, anchors, mail, no event."""
+    k, n = F.col("s_suppkey").cast("string"), F.col("s_suppkey")
+    body = F.concat(
+        F.lit("<nav><a href='/'>Conference home</a><a href='#top'>Workshop</a><a href='mailto:a@b.org'>Lecture 2026</a><a href='/x'> Home </a></nav>"),
+        F.when(n % 2 == 0, F.concat(F.lit("<a href='/e/"), k, F.lit("'>Conference on "), F.col("s_name"), F.lit("</a>"))).otherwise("<a href='/p'>Photos of staff</a>"),
+        F.lit("<a href='n'>Notes of 2026</a><a>no link 2026</a>"), F.when(n % 3 == 0, "<a href='https://other.org/m?a=1'>Talks in March</a>").otherwise("<a href='ftp://x.org/'>Seminar</a>"),
+    )
+    stubs = A.generic_stubs(_docs(table(spark, sf_dir, "supplier"), k, F.lit("https://g.org/list"), body))
+    return stubs.select(F.col("source").cast("int").alias("s_suppkey"), "title", "url")
 
 
 @query("media_links", """
@@ -149,7 +155,7 @@ SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'youtube' WHEN 2 THEN 'vimeo'
 def video_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey") % 5
     code = F.lpad(F.col("o_orderkey").cast("string"), 11, "0")
-    url = F.when(k == 0, F.concat(F.lit("https://m.youtube.com/shorts/"), code, F.lit("?x=1"))).when(k == 1, "https://www.youtube.com/about").when(k == 2, "https://player.vimeo.com/1").when(k == 3, "https://www.bilibili.com/video/BV1").otherwise("https://example.org/video/1")
+    url = F.when(k == 0, F.concat(F.when(F.col("o_orderkey") % 2 == 0, "https://m.youtube.com/shorts/").otherwise("https://music.youtube.com/shorts/"), code, F.lit("?x=1"))).when(k == 1, "https://www.youtube.com/about").when(k == 2, "https://player.vimeo.com/1").when(k == 3, "https://www.bilibili.com/video/BV1").otherwise("https://example.org/video/1")
     return table(spark, sf_dir, "orders").select("o_orderkey", C.video_platform(url).alias("platform"), C.canonical_media_url(url).alias("canonical"))
 
 
@@ -206,14 +212,29 @@ def scan_ranked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.ranked(done.select("id", "title", "url", "event_type", F.col("score").cast("int").alias("score"), F.transform("topics", lambda t: t["topic_id"]).alias("topics"), F.array_join("rank_reasons", "; ").alias("reasons"), F.size("sources").alias("sources")))
 
 
-@query("page_topic_scores", r"""
-WITH n AS (SELECT page_id, trim(regexp_replace(lower(nfc_normalize(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&amp;', '&'))), '\s+', ' ', 'g')) AS t,
-  trim(regexp_replace(lower(nfc_normalize(coalesce(regexp_extract(html, '<meta name="description" content="([^"]*)"', 1), ''))), '\s+', ' ', 'g')) AS d FROM pages)
-SELECT page_id, CAST(len(t) > 0 AS INT) AS titled FROM n
+_HEADS, _ABOUT = ["The number of groups", "Groups que meet", "Ring le field", "Theory"], ["a note", "words of the house, with the rest", "und so weiter, de facto"]
+
+
+@query("page_topic_scores", """
+WITH p AS (SELECT s_suppkey, ['The number of groups', 'Groups que meet', 'Ring le field', 'Theory'][s_suppkey % 4 + 1] AS t, ['a note', 'words of the house, with the rest', 'und so weiter, de facto'][s_suppkey % 3 + 1] AS d FROM supplier),
+w AS (SELECT s_suppkey, list_transform(string_split(lower(t), ' '), lambda x: x) AS t, string_split(replace(lower(d), ',', ''), ' ') AS d FROM p),
+k(topic, word, tenths) AS (VALUES ('articles', 'the', 10), ('articles', 'le', 8), ('articles', 'der', 8), ('links', 'and', 10), ('links', 'und', 8), ('links', 'que', 8), ('places', 'of', 10), ('places', 'de', 8), ('places', 'von', 8)),
+f AS (SELECT s_suppkey, topic, max(tenths) AS tenths FROM w JOIN k ON list_contains(t, word) OR list_contains(d, word) GROUP BY ALL)
+SELECT w.s_suppkey, coalesce(string_agg(topic || ':' || tenths, ',' ORDER BY topic), '') AS topics, CAST(least(30, 15 * count(topic)) AS INTEGER) AS points FROM w LEFT JOIN f ON w.s_suppkey = f.s_suppkey GROUP BY w.s_suppkey
 """)
 def page_topic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _page_events(spark, sf_dir)
-    return rows.select(F.col("stub_ord").alias("page_id"), (F.length("title") > 0).cast("int").alias("titled"))
+    """Suppliers' pages as events: topics of headings and descriptions with their confidence, and what they count."""
+    k = F.col("s_suppkey")
+    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (k % n + 1).cast("int"))
+    body = F.concat(F.lit('<meta name="description" content="'), pick(_ABOUT, 3), F.lit('"><h1>'), pick(_HEADS, 4), F.lit("</h1>"))
+    docs = _docs(table(spark, sf_dir, "supplier"), k, F.concat(F.lit("https://t.org/"), k.cast("string")), body)
+    none = F.lit(None).cast("string")
+    stubs = docs.select("source", F.lit("").alias("title"), "url", none.alias("native_id"), F.lit(None).cast(A.D.TYPE).alias("date_hint"), F.col("url").alias("source_url"), none.alias("evidence"), F.col("source").cast("long").alias("stub_ord"))
+    rows = A.enrich_pages(stubs, docs, _at())
+    events = E.with_topics(rows.select(*[f.name for f in N.schema(N.EVENT).fields]), _TOPICS)
+    scored = E.with_scores(events, {})
+    told = F.array_sort(F.transform("topics", lambda t: F.concat_ws(":", t["topic_id"], F.round(t["confidence"] * 10).cast("int").cast("string"))))
+    return scored.select(F.regexp_extract("url", r"(\d+)$", 1).cast("int").alias("s_suppkey"), F.array_join(told, ",").alias("topics"), F.col("score_components.topic").cast("int").alias("points"))
 
 
 @query("scan_registry_sources")

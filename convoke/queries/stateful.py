@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import changes as G
 from ..operators import checks as Q
 from ..plans import state as S
+from ..plans.tables import shared
 from ..sources import registry as R
 from . import query, table
 from .duplicates import _date, _null, event_rows
@@ -54,11 +55,13 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("changes_in_order", f"""
-WITH {_SIDES} SELECT kind, count(*) AS n, count(DISTINCT u) AS events FROM x GROUP BY kind
+WITH {_SIDES}, k(kind, place) AS (VALUES ('event_added', 0), ('event_updated', 1), ('schedule_added', 2), ('speaker_added', 3), ('livestream_added', 4), ('media_added', 5), ('media_removed', 6), ('event_cancelled', 7))
+SELECT CAST(row_number() OVER (ORDER BY CAST(u AS VARCHAR), place, detail NULLS FIRST) AS INTEGER) AS place, CAST(u AS VARCHAR) AS event_id, x.kind, detail FROM x JOIN k ON x.kind = k.kind
 """)
 def changes_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = G.in_order(G.detect_changes(*_halves(spark, sf_dir), _NOW))
-    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("events"))
+    """Changes with the place that the order gives them."""
+    rows = G.in_order(G.detect_changes(*_halves(spark, sf_dir), _NOW)).withColumn("at", F.monotonically_increasing_id())
+    return rows.select(F.row_number().over(Window.orderBy("at")).alias("place"), "event_id", "kind", "detail")
 
 
 def _stored(spark: SparkSession, sf_dir: str, status: str) -> dict[str, DataFrame]:
@@ -131,10 +134,52 @@ def set_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("l_suppkey").alias("s"), (F.array_sort(F.array_distinct(old)) != F.array_sort(F.array_distinct(new))).alias("updated"), F.size(added).alias("added"))
 
 
-@query("changes_since", "SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-25'")
+def _store(spark: SparkSession, sf_dir: str) -> S.ScanStore:
+    """State after two scans, the second one with an unhealthy source beside a healthy one."""
+    before, after = _halves(spark, sf_dir)
+    store = S.ScanStore(spark, shared(spark))
+    shape = "source string, status string, duration_ms long, requests int, events int, message string, recorded_at timestamp"
+    health = lambda *status: spark.createDataFrame([(f"s{k}", s, 1, 1, 1, None, None) for k, s in enumerate(status)], shape)
+    store.store_scan(before, health("ok", "ok"), _FIRST)
+    store.store_scan(after, health("ok", "timeout"), _NOW)
+    return store
+
+
+_FIRST = datetime.datetime(2024, 1, 16, tzinfo=datetime.UTC)
+
+
+@query("changes_since", f"WITH {_SIDES} SELECT CAST(u AS VARCHAR) AS event_id, kind, detail FROM x WHERE kind <> 'event_cancelled'")
 def changes_since(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return rows.filter(F.col("ts") >= F.lit("2024-01-25").cast("timestamp")).orderBy("ts", "event_id").select("event_id", "event_type")
+    """What the log has since the second scan, of which an unhealthy source lets nothing be cancelled."""
+    return _store(spark, sf_dir).list_changes(_NOW).select("event_id", "kind", "detail")
+
+
+@query("state_events", f"""
+WITH {_SIDES} SELECT CAST(u AS VARCHAR) AS id, strftime(CASE WHEN was THEN TIMESTAMP '2024-01-16' ELSE TIMESTAMP '2024-02-01' END, '%Y-%m-%d') AS first_seen,
+  CAST(row_number() OVER (ORDER BY CAST(u AS VARCHAR)) AS INTEGER) AS place FROM b
+""")
+def state_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored events in order of their ids, with the times of their first scans."""
+    rows = _store(spark, sf_dir).list_events().withColumn("at", F.monotonically_increasing_id())
+    return rows.select("id", F.date_format("first_seen_at", "yyyy-MM-dd").alias("first_seen"), F.row_number().over(Window.orderBy("at")).alias("place"))
+
+
+@query("state_one", """
+SELECT CAST(min(user_id) AS VARCHAR) AS id, 'one' AS what, CAST(1 AS BIGINT) AS n FROM events UNION ALL SELECT '-1', 'none', 0
+""")
+def state_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored event by its id, and one that isn't there."""
+    store = _store(spark, sf_dir)
+    least = table(spark, sf_dir, "events").agg(F.min("user_id").cast("string")).first()[0]
+    n = lambda i, what: store.get_event(i).agg(F.lit(i).alias("id"), F.lit(what).alias("what"), F.count("*").alias("n"))
+    return n(least, "one").unionByName(n("-1", "none"))
+
+
+@query("state_health", "SELECT * FROM (VALUES ('s1', 'ok', '2024-01-16', 1), ('s1', 'timeout', '2024-02-01', 2)) t(source, status, recorded, place)")
+def state_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source's health over both scans, oldest first."""
+    rows = _store(spark, sf_dir).list_health("s1").withColumn("at", F.monotonically_increasing_id())
+    return rows.select("source", "status", F.date_format("recorded_at", "yyyy-MM-dd").alias("recorded"), F.row_number().over(Window.orderBy("at")).alias("place"))
 
 
 # Checks of registry tables
@@ -169,9 +214,10 @@ def registry_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.unresolved(rows, "o_orderkey", "ref", table(spark, sf_dir, "customer"), "c_custkey")
 
 
-@query("registry_orphans", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("registry_orphans", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 40 = 0)")
 def registry_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.orphans(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", table(spark, sf_dir, "orders"), "o_custkey")
+    """Customers that no order of a fortieth of all refers to."""
+    return Q.orphans(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", table(spark, sf_dir, "orders").filter("o_orderkey % 40 = 0"), "o_custkey")
 
 
 @query("registry_conditional", "SELECT p_partkey FROM part WHERE p_size > 40 AND p_type <> 'PROMO'")
@@ -179,11 +225,22 @@ def registry_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.required_if(table(spark, sf_dir, "part"), "p_partkey", F.col("p_size") > 40, F.col("p_type") == "PROMO")
 
 
-@query("registry_prefix", "SELECT p_partkey, p_name FROM part p WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT p_name || ' x' AS n FROM part WHERE p_size < 10) q WHERE starts_with(q.n, p.p_name))")
+@query("registry_prefix", "SELECT p_partkey, p_partkey || ' ' || p_name AS name FROM part WHERE p_size >= 10")
 def registry_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    names = part.filter("p_size < 10").select(F.concat("p_name", F.lit(" x")).alias("n"))
-    return Q.absent_names(part, "p_partkey", "p_name", names, "n")
+    """Parts whose name begins no entry of a list that has the small parts' names with a word more."""
+    part = table(spark, sf_dir, "part").withColumn("name", F.concat_ws(" ", F.col("p_partkey").cast("string"), "p_name"))
+    return Q.absent_names(part, "p_partkey", "name", part.filter("p_size < 10").select(F.concat("name", F.lit(" x")).alias("n")), "n")
+
+
+@query("registry_columns", "SELECT c_custkey, 'c_phone' AS missing, c_name FROM customer WHERE c_custkey % 3 > 0")
+def registry_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as tab-separated text with blank lines, read again; a wanted column isn't there."""
+    path = shared(spark)
+    line = F.when(F.col("c_custkey") % 3 > 0, F.concat_ws("\t", F.col("c_custkey").cast("string"), "c_name")).otherwise(" \t ")
+    rows = table(spark, sf_dir, "customer").select(F.lit(1).alias("k"), line.alias("value")).unionByName(spark.createDataFrame([(0, "c_custkey\tc_name")], "k int, value string"))
+    rows.repartition(1).sortWithinPartitions("k").select("value").write.text(path)
+    read = Q.read_tsv(spark, path)
+    return read.select(F.col("c_custkey").cast("long").alias("c_custkey"), F.lit(",".join(Q.missing_columns(read, ["c_custkey", "c_phone", "c_name"]))).alias("missing"), "c_name")
 
 
 @query("registry_coverage", """
@@ -221,7 +278,6 @@ SELECT g.id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(
 """)
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of sightings with half a day of retention; the last state of each id."""
-    from ..plans.tables import shared
     from ..streaming import scans
 
     path = f"{sf_dir}/events.parquet"

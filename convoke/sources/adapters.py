@@ -2,11 +2,14 @@
 
 ``discover`` turns listings into stubs, ``enrich`` stubs and their pages into
 events.  Parsers give raw fields (see ``parse``); everything else here is columns.
+A listing or page that can't be read is a row with its error, never the end of a
+scan.  An ``Adapter`` is a kind of source; ``register`` adds one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,14 +29,11 @@ def _none() -> Column:
     return F.lit(None).cast("string")
 
 
-class Unsupported(NotImplementedError):
-    """A kind of source that can't be read."""
-
-
 def _stub(rows: DataFrame, title: Column, url: Column, date: Column, native_id: Column, evidence: Column) -> DataFrame:
-    return rows.filter(F.col("error").isNull()).select(
+    """Stubs, and a row with its error for each listing that could not be read."""
+    return rows.select(
         "source", title.alias("title"), url.alias("url"), native_id.cast("string").alias("native_id"), date.alias("date_hint"),
-        F.col("final_url").alias("source_url"), evidence.cast("string").alias("evidence"), F.col("ord").alias("stub_ord"),
+        F.col("final_url").alias("source_url"), evidence.cast("string").alias("evidence"), F.col("ord").alias("stub_ord"), "error",
     )
 
 
@@ -96,27 +96,23 @@ def configured_stubs(docs: DataFrame) -> DataFrame:
 
 
 def generic_stubs(docs: DataFrame) -> DataFrame:
-    rows = P.rows_of(docs, P.anchors, P.ANCHOR, _KEEP).filter(F.col("error").isNull())
-    rows = rows.filter(~C.is_navigation(F.col("text"), F.col("href")) & C.looks_like_event(F.col("text")) & U.is_http(F.col("url")))
+    rows = P.rows_of(docs, P.anchors, P.ANCHOR, _KEEP)
+    rows = rows.filter(F.col("error").isNotNull() | (~C.is_navigation(F.col("text"), F.col("href")) & C.looks_like_event(F.col("text")) & U.is_http(F.col("url"))))
     return _stub(rows, F.col("text"), F.col("url"), F.lit(None).cast(D.TYPE), _none(), F.col("text"))
 
 
-def indico_stubs(docs: DataFrame) -> DataFrame:
-    raise Unsupported("indico sources can't be read")
-
-
-DISCOVER: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "rss": feed_stubs, "ics": calendar_stubs, "json_ld": linked_stubs, "html_config": configured_stubs,
-    "html_generic": generic_stubs, "none": generic_stubs, "indico": indico_stubs,
-}
+def unread_stubs(docs: DataFrame) -> DataFrame:
+    """Listings of a kind that can't be read: each is an error."""
+    rows = docs.select("source", "final_url", F.lit(0).cast("long").alias("ord"), F.lit("sources of this kind can't be read").alias("error"))
+    return _stub(rows, _none(), _none(), F.lit(None).cast(D.TYPE), _none(), _none())
 
 
 def discover(docs: DataFrame, specs: DataFrame, adapters: list[str]) -> DataFrame:
-    """Stubs of listings (docs) by their sources' adapters; ``adapters`` are those in use."""
-    rows = docs.join(F.broadcast(specs.select(F.col("id").alias("source"), "adapter", "selectors", "media_strategy")), "source")
+    """Stubs (and errors) of listings (docs) by their sources' adapters; ``adapters`` are those in use."""
+    rows = docs.join(specs.select(F.col("id").alias("source"), "adapter", "selectors", "media_strategy"), "source")
     out = None
     for name in adapters:
-        own = DISCOVER[name](rows.filter(F.col("adapter") == name)).withColumn("adapter", F.lit(name))
+        own = ADAPTERS[name].discover(rows.filter(F.col("adapter") == name)).withColumn("adapter", F.lit(name))
         out = own if out is None else out.unionByName(own)
     if out is None:
         raise ValueError("no adapter in use")
@@ -154,7 +150,7 @@ def scaffold(rows: DataFrame, title: Column, date: Column, **given: Column) -> D
         F.array(source).alias("sources"), F.lit(0).cast("float").alias("score"),
         F.lit(None).cast(COMPONENTS).alias("score_components"),
         F.array().cast("array<string>").alias("rank_reasons"), _no_time().alias("first_seen_at"), _no_time().alias("last_seen_at"),
-        F.col("source"), F.col("stub_ord"),
+        F.col("source"), F.col("stub_ord"), given.get("broken", F.lit(False)).alias("broken"),
     )
 
 
@@ -168,39 +164,44 @@ def _talk(talk_id: Column, title: Column, speakers: Column) -> Column:
 
 
 def _with_pages(stubs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Stubs with their page's fields (null without a page)."""
-    return stubs.join(pages.withColumn("found", F.lit(True)), ["source", "url"], "left")
+    """Stubs with their page's fields (null without a page) and broken, if there is a page that can't be read."""
+    pages = pages.withColumnRenamed("error", "p_error").withColumn("found", F.col("p_error").isNull())
+    return stubs.drop("error").join(pages, ["source", "url"], "left").withColumn("broken", F.col("p_error").isNotNull())
 
 
 def _pages(docs: DataFrame, fn: Callable, ddl: str, only_html: bool = False) -> DataFrame:
     own = docs.filter(F.col("error").isNull())
     if only_html:
         own = own.filter(F.coalesce(F.lower("content_type").contains("html"), F.lit(False)))
-    return P.rows_of(own, fn, ddl, ["source", "url"]).filter(F.col("error").isNull())
+    return P.rows_of(own, fn, ddl, ["source", "url"]).drop("ord")
 
 
 def enrich_pages(stubs: DataFrame, docs: DataFrame, now: Column, feed: bool = False) -> DataFrame:
-    """Events of feeds and generic listings from their pages.  A page's date text counts even if it is none."""
-    fields = _pages(docs, P.page, P.PAGE, only_html=feed).drop("ord", "error").withColumnsRenamed({"title": "p_title"})
+    """Events of feeds and generic listings from their pages.  A page's date text counts even if it is none.
+
+    A feed's entry keeps its own title, and so its id and type; a page found by a link gives its title.
+    """
+    fields = _pages(docs, P.page, P.PAGE, only_html=feed).withColumnsRenamed({"title": "p_title"})
     rows = _with_pages(stubs, fields).withColumn("fetched_at", now)
-    title = F.coalesce("p_title", "title")
+    title = F.col("title") if feed else F.coalesce("p_title", "title")
+    kind = title if feed else F.concat_ws(" ", title, "description")
     date = F.when(F.col("date_text").isNotNull(), D.parse_date(F.col("date_text"))).otherwise(F.col("date_hint"))
     return scaffold(
-        rows, title, date, event_type=C.event_type(F.concat_ws(" ", title, "description")), description=F.col("description"),
+        rows, title, date, event_type=C.event_type(kind), description=F.col("description"), broken=F.col("broken"),
         location=F.col("location_text"), media=media_of(F.col("links")), access=F.when(F.col("found"), C.access_class(F.col("words"))).otherwise("unknown"),
     )
 
 
 def enrich_channel(stubs: DataFrame, now: Column) -> DataFrame:
     """Events of video channels: the entry is an open recording, and no page is asked."""
-    video = F.struct(F.col("url"), F.lit("video").alias("media_type"), F.col("title"), C.video_platform(F.col("url")).alias("platform"), F.lit("open").alias("public_access"), F.col("date_hint.start").cast("timestamp").alias("published_at")).cast(MEDIA)
+    video = F.struct(F.col("url"), F.lit("video").alias("media_type"), F.col("title"), F.lit("youtube").alias("platform"), F.lit("open").alias("public_access"), _no_time().alias("published_at")).cast(MEDIA)
     return scaffold(stubs.withColumn("fetched_at", now), F.col("title"), F.col("date_hint"), media=F.array(video), access=F.lit("open"), online=F.lit("recording_available"))
 
 
 def enrich_configured(stubs: DataFrame, docs: DataFrame, specs: DataFrame, now: Column) -> DataFrame:
     """Events of configured listings; a page without a readable date keeps the listing's."""
-    own = docs.join(F.broadcast(specs.select(F.col("id").alias("source"), "selectors")), "source")
-    fields = _pages(own, P.detail, P.DETAIL).drop("ord", "error").withColumnsRenamed({"title": "p_title"})
+    own = docs.join(specs.select(F.col("id").alias("source"), "selectors"), "source")
+    fields = _pages(own, P.detail, P.DETAIL).withColumnsRenamed({"title": "p_title"})
     rows = _with_pages(stubs, fields).withColumn("fetched_at", now)
     title = F.coalesce("p_title", "title")
     names = F.coalesce("speakers", F.array().cast("array<string>"))
@@ -208,51 +209,89 @@ def enrich_configured(stubs: DataFrame, docs: DataFrame, specs: DataFrame, now:
     talks = F.transform("_names", lambda n: _talk(X.deterministic_id(F.col("_title"), n, F.col("url")), F.col("_title"), F.array(_speaker(n, _none()))))
     return scaffold(
         rows, F.col("_title"), F.coalesce(first_date(F.col("date_texts")), F.col("date_hint")), description=F.col("description"), location=F.col("location"),
-        people=F.transform("_names", lambda n: _speaker(n, _none())), talks=talks, media=media_of(F.col("links")),
+        people=F.transform("_names", lambda n: _speaker(n, _none())), talks=talks, media=media_of(F.col("links")), broken=F.col("broken"),
         access=F.when(F.col("found"), C.access_class(F.col("words"))).otherwise("unknown"),
     )
 
 
-def enrich_calendar(stubs: DataFrame, now: Column) -> DataFrame:
-    """Events of calendars are announced."""
-    return scaffold(stubs.withColumn("fetched_at", now), F.col("title"), F.col("date_hint"), status=F.lit("announced"))
+def enrich_calendar(stubs: DataFrame, docs: DataFrame, now: Column) -> DataFrame:
+    """Events of calendars are announced; a page with markup gives description and place."""
+    marked = docs.filter(F.coalesce(F.contains("body", F.lit(b"<")), F.lit(False)))
+    rows = _with_pages(stubs, _pages(marked, P.page, P.PAGE).drop("title")).withColumn("fetched_at", now)
+    return scaffold(rows, F.col("title"), F.col("date_hint"), status=F.lit("announced"), description=F.col("description"), location=F.col("location_text"), broken=F.col("broken"))
 
 
 def enrich_linked(stubs: DataFrame, docs: DataFrame, now: Column) -> DataFrame:
-    """Events of JSON-LD pages: a node with the stub's address, else the only one with its name and no address."""
+    """Events of JSON-LD pages: the nodes with the stub's address, else the only one with its name and no address.
+
+    A stub without a page of its own (``listed``) is looked up in its listing.  Nodes meet
+    stubs by equal keys, so a listing of many nodes costs what it holds.
+    """
     own = docs.filter(F.col("error").isNull()).withColumnRenamed("url", "page")
-    nodes = P.rows_of(own, P.linked, P.NODE, ["source", "page"]).filter(F.col("error").isNull())
-    nodes = nodes.select("source", "page", F.struct("ord", "name", "url", "id", "description", "location", "talks", "no_address").alias("node"))
-    rows = stubs.withColumn("page", F.regexp_replace("url", r"[?&]event-node=[0-9]+$", "")).join(nodes, ["source", "page"], "left")
-    exact = (F.col("node.url") == F.col("url")) | F.coalesce(F.col("node.id") == F.col("url"), F.lit(False))
-    by_name = F.col("node.no_address") & (F.coalesce(F.col("node.name"), F.lit("Untitled")) == F.col("title"))
-    own = Window.partitionBy("source", "url", "stub_ord")
-    rows = rows.withColumns({"_exact": F.coalesce(exact, F.lit(False)), "_name": F.coalesce(by_name, F.lit(False))})
-    rows = rows.withColumns({"_any": F.max(F.col("_exact").cast("int")).over(own), "_names": F.sum(F.col("_name").cast("int")).over(own)})
-    pick = F.when(F.col("_any") == 1, F.col("_exact")).otherwise(F.col("_name") & (F.col("_names") == 1))
-    rows = rows.groupBy(*[c for c in stubs.columns if c != "date_hint"], F.to_json("date_hint").alias("_date")).agg(F.array_sort(F.collect_list(F.when(pick, F.struct(F.col("node.ord"), F.col("node"))))).alias("nodes"))
-    rows = rows.withColumn("date_hint", F.from_json("_date", D.TYPE)).withColumn("fetched_at", now)
+    pages = P.rows_of(own, P.linked_page, P.LINKED, ["source", "page"])
+    named = lambda c: F.concat(F.lit("n"), F.coalesce(c, F.lit("Untitled")))
+    entry = lambda key, rank, n: F.struct(key.alias("key"), F.lit(rank).alias("rank"), n.alias("node"))
+    keys = F.flatten(F.transform("nodes", lambda n: F.array(entry(F.concat(F.lit("u"), n["url"]), 1, n), entry(F.concat(F.lit("u"), n["id"]), 1, n), entry(F.when(n["no_address"], named(n["name"])), 2, n))))
+    none = F.lit(None).cast(P.schema(P.LINKED)["nodes"].dataType.elementType)
+    page = F.array(entry(F.lit("p"), 0, none))
+    pages = pages.select("source", "page", "error", C.access_class(F.col("words")).alias("access"), F.inline(F.concat(page, F.coalesce(F.filter(keys, lambda k: k["key"].isNotNull()), F.slice(page, 1, 0)))))
+    asked = F.array(F.lit("p"), F.concat(F.lit("u"), F.col("url")), named(F.col("title")))
+    listed = F.col("listed") if "listed" in stubs.columns else F.regexp_replace("url", r"[?&]event-node=[0-9]+$", "") == F.col("source_url")
+    rows = stubs.drop("listed", "error").withColumn("page", F.when(listed, F.col("source_url")).otherwise(F.col("url")))
+    whole = [c for c in rows.columns if c not in ("date_hint", "page")]
+    rows = rows.withColumn("key", F.explode(asked)).join(pages, ["source", "page", "key"], "left")
+    found = F.array_sort(F.collect_set(F.when(F.col("node").isNotNull(), F.struct("node.ord", "rank", "node"))))
+    rows = rows.groupBy(*whole, F.to_json("date_hint").alias("_date")).agg(found.alias("_all"), F.max("access").alias("_access"), F.max(F.col("error").isNotNull()).alias("broken"))
+    exact, by_name = F.filter("_all", lambda n: n["rank"] == 1), F.filter("_all", lambda n: n["rank"] == 2)
+    nodes = F.when(F.size(exact) > 0, exact).when(F.size(by_name) == 1, by_name).otherwise(F.slice(exact, 1, 0))
+    rows = rows.withColumns({"nodes": nodes, "date_hint": F.from_json("_date", D.TYPE), "fetched_at": now})
     first = lambda k: F.get(F.filter(F.transform("nodes", lambda n: n["node"][k]), lambda v: v.isNotNull()), F.lit(0))
     talks = F.flatten(F.transform("nodes", lambda n: F.transform(n["node"]["talks"], lambda t: _talk(X.deterministic_id(F.coalesce(t["title"], F.col("title")), F.array_join(t["names"], ", ")), F.coalesce(t["title"], F.col("title")), F.transform(t["names"], lambda p: _speaker(p, t["evidence"]))))))
     people = F.flatten(F.transform("nodes", lambda n: F.flatten(F.transform(n["node"]["talks"], lambda t: F.transform(t["names"], lambda p: _speaker(p, t["evidence"]))))))
-    return scaffold(rows, F.col("title"), F.col("date_hint"), description=first("description"), location=first("location"), talks=talks, people=people)
+    return scaffold(rows, F.col("title"), F.col("date_hint"), description=first("description"), location=first("location"), talks=talks, people=people, access=F.coalesce("_access", F.lit("unknown")), broken=F.coalesce("broken", F.lit(False)))
 
 
-def enrich(stubs: DataFrame, docs: DataFrame, specs: DataFrame, adapters: list[str], now: Column) -> DataFrame:
-    """Events of all stubs (with adapter) from their pages (docs, by source and url)."""
+def enrich_feed(stubs: DataFrame, docs: DataFrame, specs: DataFrame, now: Column) -> DataFrame:
+    """Events of feeds: channels of videos need no page."""
     channels = specs.filter(F.col("media_strategy") == "youtube_channel").select(F.col("id").alias("source"))
+    return enrich_channel(stubs.join(channels, "source", "left_semi"), now).unionByName(enrich_pages(stubs.join(channels, "source", "left_anti"), docs, now, feed=True))
+
+
+@dataclass(frozen=True)
+class Adapter:
+    """A kind of source.
+
+    ``discover`` gives stubs of listings (documents of its sources, with their selectors);
+    ``enrich`` gives events of stubs, pages (by source and url), sources and the time.
+    """
+
+    discover: Callable[[DataFrame], DataFrame]
+    enrich: Callable[[DataFrame, DataFrame, DataFrame, Column], DataFrame]
+
+
+_generic = Adapter(generic_stubs, lambda stubs, docs, specs, now: enrich_pages(stubs, docs, now))
+ADAPTERS: dict[str, Adapter] = {
+    "rss": Adapter(feed_stubs, enrich_feed),
+    "ics": Adapter(calendar_stubs, lambda stubs, docs, specs, now: enrich_calendar(stubs, docs, now)),
+    "json_ld": Adapter(linked_stubs, lambda stubs, docs, specs, now: enrich_linked(stubs, docs, now)),
+    "html_config": Adapter(configured_stubs, enrich_configured),
+    "html_generic": _generic,
+    "none": _generic,
+    "indico": Adapter(unread_stubs, lambda stubs, docs, specs, now: enrich_pages(stubs, docs, now)),
+}
+
+
+def register(name: str, adapter: Adapter) -> None:
+    """Adds a kind of source under a new name, which sources may then give as their adapter."""
+    if name in ADAPTERS:
+        raise ValueError(f"there is an adapter {name}")
+    ADAPTERS[name] = adapter
+
+
+def enrich(stubs: DataFrame, docs: DataFrame, specs: DataFrame, adapters: list[str], now: Column) -> DataFrame:
+    """Events of all stubs (with adapter) from their pages (docs, by source and url); broken where a page can't be read."""
     out = None
     for name in adapters:
-        own = stubs.filter(F.col("adapter") == name).drop("adapter")
-        if name == "rss":
-            made = enrich_channel(own.join(F.broadcast(channels), "source", "left_semi"), now).unionByName(enrich_pages(own.join(F.broadcast(channels), "source", "left_anti"), docs, now, feed=True))
-        elif name == "html_config":
-            made = enrich_configured(own, docs, specs, now)
-        elif name == "ics":
-            made = enrich_calendar(own, now)
-        elif name == "json_ld":
-            made = enrich_linked(own, docs, now)
-        else:
-            made = enrich_pages(own, docs, now)
+        made = ADAPTERS[name].enrich(stubs.filter(F.col("adapter") == name).drop("adapter", "error"), docs, specs, now)
         out = made if out is None else out.unionByName(made)
     return out

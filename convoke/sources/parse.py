@@ -30,10 +30,23 @@ class ParseError(ValueError):
     """A body that is not what its source says."""
 
 
+def _told(e: Exception) -> str:
+    return str(e) if isinstance(e, ParseError) else f"{type(e).__name__}: {e}"[:500]
+
+
+def _records(row: dict[str, Any], fn: Callable[[dict[str, Any]], list[dict[str, Any]]], keep: list[str]) -> list[dict[str, Any]]:
+    """The records of one document, or the row that tells what it failed at."""
+    kept = {c: row[c] for c in keep}
+    try:
+        return [kept | r | {"error": None, "ord": k} for k, r in enumerate(fn(row))]
+    except Exception as e:  # noqa: BLE001 - a body of any kind may not end the scan of the others
+        return [kept | {"error": _told(e), "ord": 0}]
+
+
 def rows_of(docs: DataFrame, fn: Callable[[dict[str, Any]], list[dict[str, Any]]], ddl: str, keep: list[str]) -> DataFrame:
     """The records of every document with ``keep`` of its columns; ``error`` tells what a body failed at.
 
-    A document that fails gives one row with nulls and its error.
+    A document that fails, at whatever, gives one row with nulls and its error; others aren't touched by it.
     """
     own = schema(ddl)
     fields = [*(docs.schema[c] for c in keep), *own.fields]
@@ -41,14 +54,15 @@ def rows_of(docs: DataFrame, fn: Callable[[dict[str, Any]], list[dict[str, Any]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[dict[str, Any]] = []
-            for row in batch.to_pylist():
-                kept = {c: row[c] for c in keep}
-                try:
-                    out += [kept | r | {"error": None, "ord": k} for k, r in enumerate(fn(row))]
-                except ParseError as e:
-                    out.append(kept | {"error": str(e), "ord": 0})
-            yield pa.RecordBatch.from_pylist(out, schema=types)
+            documents = [_records(row, fn, keep) for row in batch.to_pylist()]
+            try:
+                yield pa.RecordBatch.from_pylist([r for d in documents for r in d], schema=types)
+            except (pa.ArrowException, TypeError, ValueError, OverflowError):
+                for records in documents:
+                    try:
+                        yield pa.RecordBatch.from_pylist(records, schema=types)
+                    except (pa.ArrowException, TypeError, ValueError, OverflowError) as e:
+                        yield pa.RecordBatch.from_pylist([{c: records[0][c] for c in keep} | {"error": _told(e), "ord": 0}], schema=types)
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", error string, ord long"
     return docs.mapInArrow(run, shape)
@@ -237,6 +251,11 @@ def _json_feed(text: str) -> list[dict[str, Any]]:
     items = data.get("items")
     if not isinstance(items, list):
         raise ParseError("feed without items")
+    fields = ("title", "url", "external_url", "date_published", "date_modified", "summary", "content_text")
+    for i in items:
+        odd = [f for f in fields if isinstance(i, dict) and not isinstance(i.get(f), str | None)]
+        if odd:
+            raise ParseError(f"feed: {odd[0]} is no text")
     return [{"title": i.get("title"), "url": i.get("url") or i.get("external_url"), "date": _day(i.get("date_published") or i.get("date_modified")), "native_id": str(i["id"]) if i.get("id") else None, "summary": i.get("summary") or i.get("content_text")} for i in items if isinstance(i, dict)]
 
 
@@ -327,7 +346,7 @@ def json_blocks(html: str) -> list[Any]:
         if s.attrs.get("type", "").strip().lower() == "application/ld+json":
             try:
                 out.append(json.loads("".join(s.texts())))
-            except ValueError:
+            except (ValueError, RecursionError):
                 continue
     return out
 
@@ -358,6 +377,15 @@ def names_of(value: Any) -> list[str]:
     return [value["name"]] if isinstance(value, dict) and isinstance(value.get("name"), str) else []
 
 
+LINKED = f"words string, nodes array<struct<{','.join(f.strip().replace(' ', ':', 1) for f in ['ord int', 'name string', 'url string', 'id string', 'description string', 'location string', 'talks array<struct<title:string,evidence:string,names:array<string>>>', 'no_address boolean'])}>>"
+
+
+def linked_page(row: dict[str, Any]) -> list[dict[str, Any]]:
+    """All words of a page, and its event nodes by their place."""
+    words = page_fields(dom.tree(dom.decoded(row["body"])))["words"]
+    return [{"words": words, "nodes": [{"ord": k} | {f: v for f, v in n.items() if f != "start"} for k, n in enumerate(linked(row))]}]
+
+
 def linked(row: dict[str, Any]) -> list[dict[str, Any]]:
     """Event nodes of a page with their talks."""
     text = lambda v: v if isinstance(v, str) else None

@@ -8,7 +8,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import ADAPTERS, KINDS, TIERS, schema
+from ..schemas import KINDS, TIERS, schema
+from . import adapters
 
 SELECTORS = ["list", "list_link", "detail_title", "detail_date", "detail_location", "detail_description", "detail_speaker", "list_title", "list_date"]
 REQUIRED_SELECTORS = SELECTORS[:4]
@@ -37,7 +38,7 @@ def sources(spark: SparkSession, toml: str) -> DataFrame:
         if "id" not in s or "name" not in s:
             raise RegistryError("a source needs id and name")
         own = _DEFAULTS | s | {"ord": k}
-        for name, known in (("tier", TIERS), ("kind", KINDS), ("adapter", ADAPTERS)):
+        for name, known in (("tier", TIERS), ("kind", KINDS), ("adapter", adapters.ADAPTERS)):
             if own[name] not in known:
                 raise RegistryError(f"{own['id']}: no such {name}: {own[name]}")
         if own["selectors"] is not None:

@@ -9,6 +9,7 @@ partition for each host, which keeps to the limits for one host.
 from __future__ import annotations
 
 import datetime
+import json
 import re
 import time
 from collections.abc import Callable, Iterator
@@ -29,10 +30,14 @@ AGENT = "convoke"
 
 @dataclass(frozen=True)
 class Policy:
-    """Limits; times in seconds."""
+    """Limits; times in seconds.
+
+    ``global_jobs`` sources are asked at once, and a host by one of them at a time.
+    Transports get ``connect_timeout`` and ``request_timeout``, within what is left
+    until the deadline.
+    """
 
     global_jobs: int = 8
-    host_jobs: int = 2
     connect_timeout: float = 5.0
     request_timeout: float = 15.0
     deadline: float = 30.0
@@ -167,7 +172,18 @@ class Answer:
     headers: dict[str, str] = field(default_factory=dict)
 
 
-Transport = Callable[[str, float], Answer]
+class Timeout(float):
+    """Seconds that an answer may take; ``connect`` of them for the connection."""
+
+    connect: float
+
+    def __new__(cls, whole: float, connect: float) -> Timeout:
+        own = super().__new__(cls, whole)
+        own.connect = min(whole, connect)
+        return own
+
+
+Transport = Callable[[str, Timeout], Answer]
 
 
 @dataclass
@@ -189,12 +205,23 @@ class Client:
         self.transport, self.policy, self.clock, self.sleep = transport, policy or Policy(), clock, sleep
         self.robots: dict[tuple[str, tuple[str, ...]], Robots] = {}
 
+    def know(self, rules: str | None) -> None:
+        """Takes in robots rules that another client knew."""
+        for origin, hosts, own in json.loads(rules or "[]"):
+            self.robots.setdefault((origin, tuple(hosts)), Robots(tuple((p, allow) for p, allow in own)))
+
+    def known(self, url: str) -> str:
+        """The robots rules of an address's origin, as ``know`` takes them."""
+        parts = urlsplit(url)
+        origin = f"{parts.scheme}://{parts.netloc}"
+        return json.dumps([[o, hosts, own.rules] for (o, hosts), own in self.robots.items() if o == origin])
+
     def _send(self, url: str, budget: Budget, until: float) -> Answer:
         left = until - self.clock()
         if left <= 0:
             raise FetchError("timeout", "deadline")
         budget.take()
-        answer = self.transport(url, min(self.policy.request_timeout, left))
+        answer = self.transport(url, Timeout(min(self.policy.request_timeout, left), self.policy.connect_timeout))
         if len(answer.body) > self.policy.body_bytes:
             raise FetchError("too_large")
         return answer
@@ -265,7 +292,7 @@ class Client:
             return url, answer
 
 
-FETCHED = "source string, url string, final_url string, status int, content_type string, body binary, fetched_at timestamp, error string"
+FETCHED = "source string, url string, final_url string, status int, content_type string, body binary, fetched_at timestamp, error string, requests int, rules string"
 
 
 def within_budget(plans: DataFrame, used: int = 2) -> DataFrame:
@@ -277,32 +304,52 @@ def within_budget(plans: DataFrame, used: int = 2) -> DataFrame:
 def documents(plans: DataFrame, transport: Transport, now: datetime.datetime, policy: Policy | None = None) -> DataFrame:
     """Fetched documents of plans (source, url, allowed_hosts, request_budget, ord); errors are rows.
 
-    Requests of a source are in one partition and in order; a source's plans are bounded by its budget.
+    Plans may have what the source's earlier documents told: ``spent``, the requests made, and ``rules``,
+    the robots rules known by then, which are not asked for again.
+
+    A source's plans are in one partition and in order, bounded by its budget.  Partitions are as many as
+    ``global_jobs``, so no more sources are asked at once; all sources whose first page is on a host are in
+    one of them, so that host sees one request at a time, and its robots file is asked once.
+    ``requests`` and ``rules`` tell the same of the source by then.
     """
     limits = policy or Policy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        client, budgets, until = Client(transport, limits), {}, {}
+        client, budgets, until, spent = Client(transport, limits), {}, {}, {}
         for batch in batches:
             out: list[dict[str, Any]] = []
             for r in batch.to_pylist():
-                budget = budgets.setdefault(r["source"], Budget(r["request_budget"]))
+                already = r["spent"] or 0
+                client.know(r["rules"])
+                budget = budgets.setdefault(r["source"], Budget(r["request_budget"] - already))
                 end = until.setdefault(r["source"], client.clock() + limits.deadline)
                 row = {"source": r["source"], "url": r["url"], "final_url": None, "status": None, "content_type": None, "body": None, "fetched_at": now, "error": None}
                 try:
-                    row["final_url"], answer = client.fetch(r["url"], [h.lower() for h in r["allowed_hosts"]], budget, end)
+                    row["final_url"], answer = client.fetch(r["url"], [h.lower() for h in r["allowed_hosts"] or []], budget, end)
                     row |= {"status": answer.status, "content_type": answer.headers.get("content-type"), "body": answer.body}
                 except FetchError as e:
                     row["error"] = e.kind
-                out.append(row)
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("source", pa.string()), ("url", pa.string()), ("final_url", pa.string()), ("status", pa.int32()), ("content_type", pa.string()), ("body", pa.binary()), ("fetched_at", pa.timestamp("us", "UTC")), ("error", pa.string())]))
+                except Exception:  # noqa: BLE001 - a transport's trouble with one address may not end the others' scan
+                    row["error"] = "network"
+                spent[r["source"]] = r["request_budget"] - max(budget.left, 0)
+                out.append(row | {"requests": spent[r["source"]], "rules": client.known(r["url"])})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("source", pa.string()), ("url", pa.string()), ("final_url", pa.string()), ("status", pa.int32()), ("content_type", pa.string()), ("body", pa.binary()), ("fetched_at", pa.timestamp("us", "UTC")), ("error", pa.string()), ("requests", pa.int32()), ("rules", pa.string())]))
+
+    told = {"spent": F.lit(0), "rules": F.lit(None).cast("string")}
+    own = plans.select("source", "url", "allowed_hosts", "request_budget", "ord", *[F.col(c) if c in plans.columns else v.alias(c) for c, v in told.items()])
+    host = F.min(F.struct("ord", U.host(F.col("url")).alias("host"))).over(Window.partitionBy("source"))
+    dealt = own.withColumn("_host", host["host"]).repartition(limits.global_jobs, "_host").sortWithinPartitions("source", "ord")
+    return dealt.drop("ord", "_host").mapInArrow(run, FETCHED)
+
 
-    own = plans.select("source", "url", "allowed_hosts", "request_budget", "ord")
-    return own.repartition("source").sortWithinPartitions("source", "ord").drop("ord").mapInArrow(run, FETCHED)
+def is_listed(url: Column, source_url: Column) -> Column:
+    """Whether a stub's address is its listing's, but for a node's number."""
+    return F.coalesce(F.regexp_replace(url, r"[?&]event-node=[0-9]+$", "") == source_url, F.lit(False))
 
 
 def detail_plans(stubs: DataFrame, max_depth: int | Column = 2) -> DataFrame:
     """A plan for each stub's page at depth 1, if the source goes that deep; the listing itself isn't asked again."""
-    same = F.regexp_replace("url", r"[?&]event-node=[0-9]+$", "") == F.col("source_url")
     depth = max_depth if isinstance(max_depth, Column) else F.lit(max_depth)
-    return stubs.filter((F.lit(1) <= depth) & ~same).select("source", "url", F.col("stub_ord").alias("ord"))
+    rows = stubs.filter((F.lit(1) <= depth) & ~is_listed(F.col("url"), F.col("source_url")))
+    # Stubs with the same page ask for it once.
+    return rows.groupBy("source", "url").agg(F.min("stub_ord").alias("ord"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -99,6 +100,45 @@ def test_fold_against_a_plain_scan(spark):
     assert {r.id for r in shuffled.select("id").collect()} == set(got)
 
 
+def test_large_blocks_fold_in_linear_time():
+    """One title and day with many organizers, and one cluster that many join."""
+    key = lambda **x: {"url": None, "ids": [], "title": "t", "start": "2026-01-01", "organizer": None, "domain": None, "place": None} | x
+    base = event("")
+    many = [base | {"id": f"{k:06d}", "k": key(organizer=str(k)), "date": {"start": "2026-01-01"}} for k in range(100_000)]
+    began = time.perf_counter()
+    assert len(K.fold(many)) == 100_000
+    one = [base | {"id": f"{k:06d}", "score": float(k), "k": key(url="u", ids=[str(k)]), "sources": [source("s", f"https://e.org/{k}")]} for k in range(20_000)]
+    made = K.fold(one)
+    assert len(made) == 1 and len(made[0]["sources"]) == 20_000 and made[0]["sources"][0]["source_url"].endswith("/19999") and made[0]["id"] == "019999"
+    assert time.perf_counter() - began < 30
+
+
+def test_undated_titles_meet_days_of_their_cluster(spark):
+    """The representative takes its title from an undated event and its day from another."""
+    day = date("2026-01-01")
+    rows = frame(spark, [
+        event("1", title="A", url="https://e.org/1", score=5.0, sources=[source("s", "https://a.org/")]), event("2", title="B", url="https://e.org/1", date=day, sources=[source("s", "https://a.org/2")]),
+        event("3", title="A", url="https://e.org/3", date=day, sources=[source("s", "https://a.org/3")]), event("4", title="A", url="https://e.org/4", date=date("2026-01-02"), sources=[source("s", "https://a.org/4")]),
+    ])
+    blocks = {r.id: r.block for r in K.blocks(rows).collect()}
+    assert blocks["1"] == blocks["2"] == blocks["3"]
+    assert sorted((r.id, len(r.sources)) for r in K.dedup(rows).collect()) == [("1", 3), ("4", 1)]
+
+
+def test_names_are_composed(spark):
+    """Decomposed accents are the same name: of places, organizers and people."""
+    day, plain, apart = date("2026-01-01"), "Andr\u00e9", "Andre\u0301"
+    place = lambda n: {"name": n, "city": None, "country": None, "venue": None}
+    rows = frame(spark, [
+        event("1", title="X", url="https://e.org/1", date=day, location=place(f"{plain} Hall"), sources=[source("s", "https://a.org/")]), event("2", title="X", url="https://e.org/2", date=day, location=place(f"{apart} hall"), sources=[source("t", "https://b.org/")]),
+        event("3", title="Y", url="https://e.org/3", date=day, people=[person(plain, "organizer")], sources=[source("u", "https://c.org/")]), event("4", title="Y", url="https://e.org/4", date=day, people=[person(apart, "organizer")], sources=[source("v", "https://d.org/")]),
+    ])
+    assert {(r.a, r.b): r.signal for r in K.signal_links(rows).collect()} == {("1", "2"): "title_date_location", ("3", "4"): "title_date_organizer"}
+    people = frame(spark, [event("5", title="none", people=[person(apart)]), event("6", title=f"On {apart}", people=[person(apart, tags=["x"])])])
+    got = {r.id: [(p.canonical_name, p.scholar_tags) for p in r.people] for r in E.with_scholars(people, [{"id": "a", "canonical_name": plain, "aliases": [], "tags": ["prize"]}]).collect()}
+    assert got == {"5": [(plain, ["prize"])], "6": [(apart, ["x"])]}
+
+
 def test_merges():
     key = lambda **x: {"url": None, "ids": [], "title": "t", "start": None, "organizer": None, "domain": None, "place": None} | x
     talk = {"id": "1", "speaker": [person("A")], "media": [], "topics": [], "date_time": None, "abstract_text": None}
@@ -116,7 +156,7 @@ def test_signals(spark):
         event("3", title="Z", sources=[source("s", "https://c.org/", "n")]), event("4", title=" W", date=day, sources=[source("v", "https://x.org/")]), event("5", title="w", date=day, sources=[source("w", "https://y.x.org/")]),
         event("6", title="W", sources=[source("w", "https://y.x.org/")]),
     ])
-    got = {(r.a, r.b): r.signal for r in K.signal_pairs(rows).collect()}
+    got = {(r.a, r.b): r.signal for r in K.signal_links(rows).collect()}
     assert got == {("1", "2"): "canonical_url", ("1", "3"): "source_canonical_id", ("4", "5"): "title_date_organizer"}
     assert K.dedup(rows).count() == 3 and K.dedup(rows.limit(0)).count() == 0
 

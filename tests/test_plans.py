@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import io
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from convoke.plans import state as S
 from convoke.schemas import EVENT, HEALTH, schema
 from convoke.sources import files
 from convoke.sources import registry as R
+from convoke.sources import web as W
 from convoke.streaming import scans as Z
 
 from .test_operators import event, frame, source
@@ -51,7 +53,7 @@ def test_scans_in_a_row(spark, tmp_path):
     put("a", 31, "ok")
     stored, changes = put("ab", 31 + 91, "ok")
     assert stored.filter("id = 'b'").first().first_seen_at == at(122).replace(tzinfo=None) and store.table("tombstones").count() == 0
-    assert {r.detected_at for r in store.table("changes").collect()} == {at(122).replace(tzinfo=None)} | ({at(32).replace(tzinfo=None)} if False else set())
+    assert {r.detected_at for r in store.table("changes").collect()} == {at(122).replace(tzinfo=None)}
     assert [r.recorded_at for r in store.list_health("s0").collect()] == [at(122).replace(tzinfo=None)]
     assert store.get_event("a").count() == 1 and store.list_changes(at(122)).count() == store.table("changes").count()
     store.vacuum()
@@ -74,12 +76,62 @@ def test_state_guards(spark, tmp_path):
     store.store_event(frame(spark, [event("a", title="new")]), at(3))
     row = store.get_event("a").first()
     assert row.title == "new" and row.first_seen_at == at(0).replace(tzinfo=None) and row.last_seen_at == at(3).replace(tzinfo=None)
-    (tmp_path / "state" / "CURRENT").write_text(json.dumps({"schema": 9, "version": 1, "folder": None}))
-    (tmp_path / "state" / ".CURRENT.crc").unlink(missing_ok=True)
+    (tmp_path / "state" / "CURRENT.9").write_text(json.dumps({"schema": 9, "version": 9, "folder": None}))
     with pytest.raises(S.StateError):
         S.ScanStore(spark, path)
 
 
+def test_a_commit_is_whole_or_not(spark, tmp_path, monkeypatch):
+    """A crash after any step leaves the old version, and of two writers one fails."""
+    path = f"file://{tmp_path}/state"
+    store = S.ScanStore(spark, path)
+    put = lambda s, ids, day: s.store_scan(frame(spark, [event(i) for i in ids]), health(spark, "ok"), at(day))
+    put(store, "a", 0)
+    kept = lambda: [(r.id for r in s.list_events().collect()) and [r.id for r in s.list_events().collect()] for s in [S.ScanStore(spark, path)]][0]
+
+    class Crash(Exception):
+        pass
+
+    def crash(*_):
+        raise Crash
+
+    monkeypatch.setattr(S, "put_once", crash)
+    with pytest.raises(Crash):
+        put(store, "b", 1)
+    monkeypatch.undo()
+    assert kept() == ["a"] and store.table("changes").count() == 1
+    # The pointer's file was written, but never got its name.
+    (tmp_path / "state" / "_new-left").write_text("half")
+    assert kept() == ["a"]
+    one, other = S.ScanStore(spark, path), S.ScanStore(spark, path)
+    seen = other.pointer()
+    put(one, "b", 2)
+    monkeypatch.setattr(other, "pointer", lambda: seen)
+    with pytest.raises(S.StateError):
+        put(other, "c", 2)
+    monkeypatch.undo()
+    assert kept() == ["b"] and sorted(r.kind for r in store.table("changes").collect()) == ["event_added", "event_added", "event_cancelled"]
+    put(S.ScanStore(spark, path), "c", 3)
+    assert kept() == ["c"]
+
+
+def test_logs_grow_by_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "LOGS", 3)
+    store = S.ScanStore(spark, f"file://{tmp_path}/state")
+    for day in range(5):
+        store.store_scan(frame(spark, [event(str(day))]), health(spark, "ok", "ok"), at(day))
+        assert len(store.pointer()["logs"]["health"]) <= 3
+    store.store_scan(frame(spark, [event("4")]), health(spark, "timeout"), at(4))
+    assert store.table("health").count() == 10 and [r.status for r in store.list_health("s0").collect()][-2:] == ["ok", "timeout"]
+    assert store.table("changes").filter("kind = 'event_added'").count() == 5
+    store.store_event(frame(spark, [event("x")]), at(5))
+    store.vacuum(1)
+    assert store.table("health").count() == 10 and {r.id for r in store.list_events().collect()} == {"4", "x"}
+    fresh = S.ScanStore(spark, f"file://{tmp_path}/other")
+    fresh.store_event(frame(spark, [event("y")]), at(0))
+    assert fresh.table("health").count() == 0 and fresh.table("changes").count() == 0 and fresh.list_events().count() == 1
+
+
 def test_migration(spark, tmp_path):
     path = f"file://{tmp_path}/old"
     spark.createDataFrame([("a", "t")], "id string, title string").write.parquet(f"{path}/v000000001/events")
@@ -186,11 +238,78 @@ def test_json_schema():
 
 
 def test_stream_of_scans(spark, tmp_path):
+    """Scans of several files, the second one split over two batches."""
     store = S.ScanStore(spark, f"file://{tmp_path}/state")
-    for k, ids in enumerate(("ab", "bc")):
-        rows = frame(spark, [event(i) for i in ids]).withColumns({"scan_id": F.lit(str(k)), "scanned_at": F.lit(at(k))})
-        rows.coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
-    stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in/0").schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    for _ in range(2):
-        Z.store_scans(stream, None, store, f"{tmp_path}/check{_}").awaitTermination()
-    assert {r.id for r in store.list_events().collect()} == {"b", "c"} and kinds(store.table("changes")) == [("a", "event_added"), ("a", "event_cancelled"), ("b", "event_added"), ("c", "event_added")]
+    parts = [("0", 0, "a", False), ("0", 0, "b", True), ("1", 1, "b", False), ("1", 1, "c", False), ("1", 1, "", True), ("2", 2, "d", False)]
+    for k, (scan, day, ids, last) in enumerate(parts):
+        rows = [event(i) for i in ids] + ([event(None)] if last else [])
+        frame(spark, rows).withColumns({"scan_id": F.lit(scan), "scanned_at": F.lit(at(day))}).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in/0").schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    found = spark.createDataFrame([("0", "s", "ok"), ("1", "s", "timeout")], "scan_id string, source string, status string")
+    for c, t in (("duration_ms", "long"), ("requests", "int"), ("events", "int"), ("message", "string"), ("recorded_at", "timestamp")):
+        found = found.withColumn(c, F.lit(None).cast(t))
+    for k in range(2):
+        Z.store_scans(stream, found, store, f"file://{tmp_path}/check{k}").awaitTermination()
+        # A scan that hasn't ended isn't stored; one whose source was unhealthy cancels nothing.
+        assert {r.id for r in store.list_events().collect()} == {"a", "b", "c"} and kinds(store.table("changes")) == [("a", "event_added"), ("b", "event_added"), ("c", "event_added")]
+    assert store.pointer()["version"] == 2 and sorted(store.pointer()["scans"]) == ["0", "1"]
+
+
+def test_state_of_sightings_goes(spark, tmp_path):
+    """After the retention nothing is kept of an id that was not seen again."""
+    rows = spark.createDataFrame([("a", at(0)), ("b", at(0))], "id string, seen_at timestamp")
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    seen = []
+
+    def run():
+        query = Z.first_seen(stream, 1 / 86_400).writeStream.outputMode("update").foreachBatch(lambda f, n: seen.append(sorted((r.id, r.sightings) for r in f.collect()))).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    assert run() == 2
+    time.sleep(2)
+    spark.createDataFrame([("c", at(0))], rows.schema).write.mode("append").parquet(f"{tmp_path}/in")
+    assert run() == 1 and seen[0] == [("a", 1), ("b", 1)] and ("c", 1) in seen[-1]
+
+
+def test_talks_of_many_events(spark):
+    rows = frame(spark, [event(f"{k:03d}", score=float(k // 10), talks=[]) for k in range(50)])
+    talk = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema["talks"].dataType.elementType.fields])
+    rows = rows.withColumn("talks", F.array_repeat(talk, F.col("id").cast("int") % 4))
+    for most in (1, 3, 7, 20, 74, 75, 500):
+        want, left = [], most
+        for r in sorted(rows.collect(), key=lambda r: (-r.score, r.id)):
+            if left > 0:
+                want.append((r.id, min(len(r.talks), left)))
+                left -= len(r.talks)
+        assert sorted((r.id, len(r.talks)) for r in N.limits.talk_budget(rows, most).collect()) == sorted(want)
+
+
+def test_crawl(spark, tmp_path):
+    """Pages come through a transport; the second crawl finds one gone, and a broken listing cancels nothing."""
+    toml = '[[sources]]\nid = "w"\nname = "W"\nadapter = "html_generic"\nentrypoint = "https://w.org/"\n[[sources]]\nid = "v"\nname = "V"\nadapter = "rss"\nentrypoint = "https://w.org/feed"\n'
+    entry = lambda k: f"<item><title>Seminar {k}</title><link>https://w.org/s{k}</link><pubDate>Mon, 03 Aug 2026 10:00:00 GMT</pubDate></item>"
+
+    def web(links, feed):
+        def answer(url, timeout):
+            path = url.removeprefix("https://w.org")
+            if path == "/robots.txt":
+                return W.Answer(404)
+            if path == "/":
+                return W.Answer(200, "".join(f"<a href='/{k}'>Conference 2026 {k}</a>" for k in links).encode(), {"content-type": "text/html"})
+            if path == "/feed":
+                return W.Answer(200, feed.encode(), {"content-type": "text/xml"})
+            return W.Answer(200, f"<h1>Event {path}</h1><time>2 August 2026</time>".encode(), {"content-type": "text/html"})
+
+        return answer
+
+    store, query = S.ScanStore(spark, f"file://{tmp_path}/state"), N.Query(datetime.date(2026, 6, 1))
+    go = lambda links, feed, day: N.crawl(N.Registries(R.sources(spark, toml)), web(links, feed), query, at(day), store)
+    rss = f"<rss><channel>{entry(1)}</channel></rss>"
+    one = go("ab", rss, 0)
+    assert sorted(r.title for r in one.events.collect()) == ["Event /a", "Event /b", "Seminar 1"] and [(r.source, r.status, r.events) for r in one.health.collect()] == [("v", "ok", 1), ("w", "ok", 2)]
+    two = go("a", rss[:-30], 1)
+    assert [(r.source, r.status, r.events) for r in two.health.collect()] == [("v", "parse_error", 0), ("w", "ok", 1)] and two.changes.count() == 0 and store.list_events().count() == 3
+    three = go("a", rss, 2)
+    assert [(r.kind) for r in three.changes.collect()] == ["event_cancelled"] and store.list_events().count() == 2

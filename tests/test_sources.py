@@ -83,11 +83,52 @@ def test_feed_pages_and_channels(spark):
     stubs = A.discover(listing, specs, ["rss"])
     pages = docs(spark, [("f", "https://f.org/1", "text/html; charset=utf-8", b'<h1>Better title</h1><time>soon</time><a href="s.pdf">slides</a>')])
     got = {r.source: r for r in A.enrich(stubs, pages, specs, ["rss"], F.lit(NOW)).collect()}
-    # A page's date text that is no date loses the feed's date: kept so on purpose.
-    assert got["f"].title == "Better title" and got["f"].date.precision == "unknown" and got["f"].media[0].media_type == "slides"
+    # The feed's own title is the event's; a page's date text that is no date loses the feed's date: kept so on purpose.
+    assert got["f"].title == "Talk" and got["f"].date.precision == "unknown" and got["f"].media[0].media_type == "slides"
     assert got["v"].media[0].public_access == "open" and got["v"].access.online == "recording_available" and str(got["v"].date.start) == "2026-08-03"
-    with pytest.raises(A.Unsupported):
-        A.DISCOVER["indico"](listing)
+    assert got["v"].media[0].platform == "youtube" and got["v"].media[0].published_at is None
+    assert [(r.source, r.title, bool(r.error)) for r in A.ADAPTERS["indico"].discover(listing).orderBy("source").collect()] == [("f", None, True), ("v", None, True)]
+
+
+def test_one_bad_body_is_one_error(spark):
+    good = b"<rss><channel><item><title>T</title><link>https://e.org/1</link></item></channel></rss>"
+    deep = b'<script type="application/ld+json">' + b"[" * 100_000 + b"</script>"
+    bodies = {
+        "good": good, "cut": good[:-20], "typed": b'{"items":[{"title":"x","url":{"a":1}}]}', "number": b'{"items":[{"title":7,"url":"https://e.org/2"}]}', "date": b'{"items":[{"title":"x","url":"https://e.org/3","date_published":20260801}]}',
+        "list": b"[1]", "entity": b"<!DOCTYPE x><rss/>", "nothing": b"",
+    }
+    rows = A.feed_stubs(docs(spark, [(k, f"https://{k}.org/", "text/xml", b) for k, b in bodies.items()])).collect()
+    assert {r.source: r.error is None for r in rows} == {k: k == "good" for k in bodies}
+    found = A.linked_stubs(docs(spark, [("deep", "https://d.org/", "text/html", deep), ("fine", "https://f.org/", "text/html", b'<script type="application/ld+json">{"@type":"Event","name":"A"}</script>')])).collect()
+    assert [(r.source, r.title) for r in found if r.error is None] == [("fine", "A")]
+
+    def odd(row):
+        if row["source"] == "raises":
+            raise RecursionError("deep")
+        return [{"title": 5 if row["source"] == "wrong" else "x"}]
+
+    three = docs(spark, [(k, "u", "t", b"") for k in ("raises", "wrong", "right")]).coalesce(1)
+    assert {r.source: (r.title, r.error is None) for r in P.rows_of(three, odd, "title string", ["source"]).collect()} == {"raises": (None, False), "wrong": (None, False), "right": ("x", True)}
+
+
+def test_adapters_can_be_added(spark):
+    def lines(listings):
+        rows = P.rows_of(listings, lambda r: [{"title": t} for t in r["body"].decode().split("\n") if t], "title string", ["source", "final_url"])
+        none = F.lit(None).cast("string")
+        return rows.select("source", "title", F.concat("final_url", "title").alias("url"), none.alias("native_id"), F.lit(None).cast(A.D.TYPE).alias("date_hint"), F.col("final_url").alias("source_url"), none.alias("evidence"), F.col("ord").alias("stub_ord"), "error")
+
+    A.register("lines", A.Adapter(lines, lambda stubs, pages, specs, now: A.enrich_calendar(stubs, pages, now)))
+    try:
+        specs = R.validated(R.sources(spark, '[[sources]]\nid="x"\nname="X"\nadapter="lines"\nentrypoint="https://x.org/"\n'))
+        listing = docs(spark, [("x", "https://x.org/", "text/plain", b"one\ntwo\n")])
+        stubs = A.discover(listing, specs, ["lines"])
+        assert sorted((r.title, r.status) for r in A.enrich(stubs, listing.limit(0), specs, ["lines"], F.lit(NOW)).collect()) == [("one", "announced"), ("two", "announced")]
+        with pytest.raises(ValueError, match="there is an adapter"):
+            A.register("lines", A.ADAPTERS["rss"])
+    finally:
+        del A.ADAPTERS["lines"]
+    with pytest.raises(R.RegistryError):
+        R.sources(spark, '[[sources]]\nid="x"\nname="X"\nadapter="lines"\n')
 
 
 def test_configured_pages(spark):
@@ -183,5 +224,19 @@ def test_fetched_documents(spark):
         return W.Answer(404) if url.endswith("robots.txt") else W.Answer(200, url.encode(), {"content-type": "text/html"}) if "ok" in url else W.Answer(500)
 
     plans = spark.createDataFrame([("s", "https://e.org/ok", ["e.org"], 3, 1), ("s", "https://e.org/bad", ["e.org"], 3, 2), ("t", "https://f.org/ok", [], 9, 1)], "source string, url string, allowed_hosts array<string>, request_budget int, ord int")
-    got = {(r.source, r.url): (r.status, r.error) for r in W.documents(plans, answer, NOW, W.Policy(retries=0)).collect()}
+    rows = W.documents(plans, answer, NOW, W.Policy(retries=0))
+    assert {r.source: (max(x.requests for x in rows.collect() if x.source == r.source), r.rules) for r in rows.collect() if "ok" in r.url} == {"s": (3, '[["https://e.org", ["e.org"], []]]'), "t": (2, '[["https://f.org", [], []]]')}
+    got = {(r.source, r.url): (r.status, r.error) for r in rows.collect()}
+    # Robots rules that are known aren't asked again, and what is spent counts.
+    again = plans.withColumns({"spent": F.lit(1), "rules": F.lit('[["https://e.org", ["e.org"], [["/bad", false]]]]')})
+    told = {(r.source, r.url[-3:]): (r.error, r.requests) for r in W.documents(again, answer, NOW, W.Policy(retries=0)).collect()}
+    assert told[("s", "/ok")] == (None, 2) and told[("s", "bad")] == ("robots_denied", 2) and told[("t", "/ok")] == (None, 3)
+
+    def broken(url, timeout):
+        assert 0 < timeout.connect <= 5 and timeout <= 15
+        if "bad" in url:
+            raise KeyError(url)
+        return answer(url, timeout)
+
+    assert {r.url[-3:]: r.error for r in W.documents(plans.filter("source = 's'"), broken, NOW).collect()} == {"/ok": None, "bad": "network"}
     assert got == {("s", "https://e.org/ok"): (200, None), ("s", "https://e.org/bad"): (None, "http_status"), ("t", "https://f.org/ok"): (200, None)}
