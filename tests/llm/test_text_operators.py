@@ -226,14 +226,46 @@ def test_simhash(spark, monkeypatch):
     least = {x: min((ids[k] for k in range(len(texts)) if label[k] == x and ids[k] is not None), default=None) for x in set(label)}
     got = sorted(((r.doc_id is None, r.doc_id or 0, r.fingerprint, r.component_id) for r in simhash.near_duplicates(rows).collect()), key=str)
     assert got == sorted(((i is None, i or 0, f"{p:016x}", least[x]) for i, p, x in zip(ids, prints, label, strict=True)), key=str)
-    stays = simhash.drop_near_duplicates(rows)
-    assert stays.columns == rows.columns and stays.count() == len(set(label))
-    plain = docs(spark, texts)
-    own = {min(k for k in range(len(texts)) if label[k] == x) for x in set(label)}
-    assert {r.doc_id for r in simhash.drop_near_duplicates(plain).collect()} == own
-    twice = docs(spark, ["a b c d", "a b c d", "q r s t"], [5, 5, 6])
-    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(twice).collect()) == [5, 6]
-    assert simhash.near_duplicates(rows.limit(0)).count() == 0 and simhash.drop_near_duplicates(rows.limit(0)).count() == 0
+    assert simhash.near_duplicates(rows.limit(0)).count() == 0
+
+
+def test_fingerprints_against_plain_xxh64():
+    """An XXH64 of one's own and bit counts in Python integers."""
+    p = [11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261]
+    m = (1 << 64) - 1
+    turn = lambda x, n: ((x << n) | (x >> (64 - n))) & m
+    mix = lambda acc, x: turn((acc + x * p[1]) & m, 31) * p[0] & m
+
+    def xxh64(b, seed=42):
+        at, word = 0, lambda k, n: int.from_bytes(b[k : k + n], "little")
+        if len(b) >= 32:
+            v = [(seed + p[0] + p[1]) & m, (seed + p[1]) & m, seed, (seed - p[0]) & m]
+            while at + 32 <= len(b):
+                v = [mix(x, word(at + 8 * k, 8)) for k, x in enumerate(v)]
+                at += 32
+            h = sum(turn(x, n) for x, n in zip(v, (1, 7, 12, 18), strict=True)) & m
+            for x in v:
+                h = ((h ^ mix(0, x)) * p[0] + p[3]) & m
+        else:
+            h = (seed + p[4]) & m
+        h = (h + len(b)) & m
+        while at + 8 <= len(b):
+            h, at = (turn(h ^ mix(0, word(at, 8)), 27) * p[0] + p[3]) & m, at + 8
+        if at + 4 <= len(b):
+            h, at = (turn(h ^ (word(at, 4) * p[0] & m), 23) * p[1] + p[2]) & m, at + 4
+        for x in b[at:]:
+            h = turn(h ^ (x * p[4] & m), 11) * p[0] & m
+        h = (h ^ h >> 33) * p[1] & m
+        h = (h ^ h >> 29) * p[2] & m
+        return h ^ h >> 32
+
+    rng = random.Random(5)
+    for n in (0, 1, 2, 3, 4, 9, 60):
+        ws = [bytes(rng.randrange(97, 123) for _ in range(rng.randint(1, 20))) for _ in range(n)]
+        made = [b" ".join(ws[k : k + 3]) for k in range(max(1, n - 2))] if n else []
+        hashes = [xxh64(x) for x in made]
+        want = sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes)) if made else 0
+        assert simhash.fingerprint(ws) == want
 
 
 # 6
@@ -255,7 +287,49 @@ def test_token_counts(spark):
     for k, t in enumerate(texts):
         n = [brute(w) for w in re.sub(b"[A-Z]", lambda m: m[0].lower(), (t or "").encode()).split()]
         assert got[k] == (len(n), sum(n), max(n, default=0))
-    assert len(tokencount.pieces()) > 40_000 and tokencount.token_counts(docs(spark, []), vocabulary).count() == 0
+    assert tokencount.token_counts(docs(spark, []), vocabulary).count() == 0
+
+
+def test_token_counts_of_the_real_vocabulary(monkeypatch):
+    """Pieces read by a decoding of one's own, cuts by plain search, and long words by parts."""
+    import json
+    import pyarrow as pa
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        entries = json.load(file)["model"]["vocab"]
+    table = {}
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    for b in range(256):
+        table[chr(b) if b in shown else chr(256 + [x for x in range(256) if x not in shown].index(b))] = b
+    known = {bytes([b]) for b in range(256)}
+    for w in entries:
+        w = w[:-4] if w.endswith("</w>") else w
+        if w and set(w) <= set(table):
+            known.add(bytes(table[c] for c in w))
+    assert sorted(known) == tokencount.pieces() and len(known) > 40_000
+    rng = random.Random(11)
+    some = sorted(known, key=lambda w: (len(w), w))
+    texts = ["".join(rng.choice(some[256:]).decode("utf-8", "replace") for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    texts += ["internationalization antidisestablishmentarianism", "日本語の文章" * 500, "".join(rng.choice("abcdeth") for _ in range(30_000)), "ab" * 5000, "x" * 9000]
+
+    def plain(w):
+        n, longest = 0, len(some[-1])
+        while w:
+            w = w[next(k for k in range(min(len(w), longest), 0, -1) if w[:k] in known) :]
+            n += 1
+        return n
+
+    matcher = tokencount.matcher(sorted(known))
+    data, offsets = X.buffers(pa.array(texts))
+    starts, ends, _, bounds = X.words(data, offsets)
+    got = matcher.counts(data, starts, ends)
+    raw = data.tobytes()
+    assert got.tolist() == [plain(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    monkeypatch.setattr(tokencount, "LONG", 3)
+    for part in (2, 3, 7):
+        monkeypatch.setattr(tokencount, "PART", part)
+        assert matcher.counts(data[: offsets[302]], starts[: bounds[302]], ends[: bounds[302]]).tolist() == got[: bounds[302]].tolist()
 
 
 # 7
@@ -413,18 +487,52 @@ def test_substring_cases(spark):
     assert substring.remove_repeats(rows.limit(0)).count() == 0
 
 
-def test_fingerprint_runs(spark):
-    index = substring.FingerprintIndex(spark, 4, 2, most_runs=2)
-    batch = lambda *t: spark.createDataFrame([(x,) for x in t], "text string")
-    a, b, c = " ".join("abcdef"), " ".join("uvwxyz"), " ".join("klmnop")
-    assert index.ingest(batch(a, b)).count() == 0
-    assert index.ingest(batch(c, a)).count() > 0
-    n = spark.table(index.runs[0]).count()
-    assert index.ingest(batch("q r s t")).count() == 0 and len(index.runs) == 1 and spark.table(index.runs[0]).count() > n
-    assert index.ingest(batch(b)).count() > 0
-    own = list(index.runs)
+def test_repeated_windows():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        n = int(rng.integers(0, 40))
+        h, c, d, t, at = (rng.integers(0, k, n) for k in (5, 2, 4, 2, 6))
+        again, same = substring.repeats(h.astype(np.uint64), c.astype(np.uint16), d, t, at)
+        rows = list(zip(h.tolist(), c.tolist(), d.tolist(), t.tolist(), at.tolist(), strict=True))
+        want = [any(r[:2] == q[:2] and (q[2] < r[2] or q[2:4] == r[2:4] and q[4] < r[4]) for q in rows) for r in rows]
+        assert again.tolist() == want
+        # Of rows that are equal in all and not repeated, all but one are told.
+        assert all(not (a and b) for a, b in zip(again, same, strict=True)) and len({r for r, w in zip(rows, want, strict=True) if not w}) == n - sum(want) - int(same.sum())
+
+
+def test_index_takes_batches_without_old_texts(spark, tmp_path):
+    texts = corpus(7, 60, 10) + [" ".join(f"v{k}" for k in range(40))] * 2
+    rows = docs(spark, texts)
+    cuts, path, size = [0, 20, 35, len(texts)], f"file://{tmp_path}/index", 5
+    want, got = brute_repeats(enumerate(texts), size), {}
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        # Each batch opens the index anew and sees its own rows only.
+        index = substring.FingerprintIndex(spark, path, size, 3, most_runs=k + 1)
+        got |= {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(rows.filter(f"doc_id >= {a} AND doc_id < {b}"), index=index).collect()}
+        index.close()
+    assert got == want
+    index = substring.FingerprintIndex(spark, path, size, 3)
+    assert len(index.list["runs"]) == 3
+    index.compact()
+    assert len(index.list["runs"]) == 1 and len([x for x in (tmp_path / "index").iterdir() if x.name.startswith("run-")]) == 1
+    late = docs(spark, [texts[3], "new " * 3], [900, 901])
+    assert {r.doc_id: r.n_removed for r in substring.remove_repeats(late, index=index, texts=False).collect()} == {900: len(words(texts[3])) if len(words(texts[3])) >= size else 0, 901: 0}
+    other = substring.FingerprintIndex(spark, path, size, 3)
+    other._listed(other.list["runs"])
+    with pytest.raises(RuntimeError):
+        index._listed(index.list["runs"])
+    with pytest.raises(ValueError):
+        substring.FingerprintIndex(spark, path, 9)
+    assert spark.sql("SHOW TABLES").count() > 0
     index.close()
-    assert index.runs == [] and not any(spark.catalog.tableExists(x) for x in own)
+    other.close()
+    assert spark.sql("SHOW TABLES").count() == 0
+    gone = substring.FingerprintIndex(spark)
+    folder = gone.path.removeprefix("file://")
+    gone.close()
+    import os
+
+    assert not os.path.exists(folder)
 
 
 def test_bitmap(spark):
