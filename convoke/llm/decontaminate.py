@@ -10,10 +10,12 @@ number and size are within bounds, and joined by shuffle beyond.  Each
 document's windows are hashed and probed where its row is; a hit is verified by
 comparing words within the join, so only true hits leave it.  A document's words
 never travel with a window: one marker per document and the hits go to the
-aggregate, which is per row of documents.
+aggregate, which is per row of documents.  By shuffle, markers are dealt by their
+rows and pass a left join, so they gather nowhere.
 
-Null texts have no words; null item ids are left out of items.  Rows with the
-same doc_id are rows of their own.  An empty benchmark hits nothing.
+Null and empty texts have no words; null item ids are left out of items.  Rows with the
+same doc_id are rows of their own; repeated items count by their different ids.  Texts of
+any length are probed whole.  An empty benchmark hits nothing; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.tables import columns
+from ..plans.tables import columns, written
 
 SIZE = 10
 BROADCAST_WINDOWS, BROADCAST_BYTES = 500_000, 64 << 20
@@ -59,10 +61,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, broadcas
     known = benchmark_windows(benchmark, size)
     counted = known.agg(F.count("*"), F.collect_set("n"), F.sum(F.octet_length(F.concat_ws(" ", "w", "items")))).first()
     sizes = sorted(counted[1]) or [size]
+    small = counted[0] <= broadcast_windows and (counted[2] or 0) <= BROADCAST_BYTES
     marker = known.sparkSession.range(1).select(F.lit(0).alias("n"), F.array().cast("array<string>").alias("w"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("h"))
-    known = known.select("n", "w", "items", "h").unionByName(marker)
+    known = known.select("n", "w", "items", "h")
+    known = known.unionByName(marker) if small else known
     known = known.select(F.col("n").alias("wn"), F.col("w").alias("ww"), "items", F.col("h").alias("wh"))
-    small = counted[0] <= broadcast_windows and (counted[2] or 0) <= BROADCAST_BYTES
     rows = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_ws", words(F.col("text")))
     rows = rows.withColumn("_hs", hashes(F.col("_ws"))).withColumn("_words", F.size("_ws").cast("long"))
     # Position 0 is each document's marker, which meets the marker of the windows.
@@ -76,7 +79,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, broadcas
     rows = rows.withColumn("_at", F.explode(F.when(last >= starts, F.sequence(starts, last)).otherwise(F.when(starts == 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))))
     window = lambda c: F.slice(c, F.greatest("_at", F.lit(1)), F.when(F.col("_at") == 0, 0).otherwise(F.col("_n")))
     own = window("_ws")
-    rows = rows.withColumn("_h", F.when(F.col("_at") == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(window("_hs"))))
+    rows = rows.withColumn("_h", F.when(F.col("_at") == 0, F.lit(0).cast("long") if small else F.xxhash64("_row")).otherwise(F.xxhash64(window("_hs"))))
     # Written as two comparisons, equality of words stays a condition and the hash alone is the key.
     if small:
         same = (own <= F.col("ww")) & (own >= F.col("ww"))
@@ -84,7 +87,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, broadcas
     # By shuffle a row carries its own window's words, never the document's.
     rows = rows.withColumn("_own", own).drop("_ws", "_hs")
     same = (F.col("_own") <= F.col("ww")) & (F.col("_own") >= F.col("ww"))
-    return rows.join(known, (F.col("_h") == F.col("wh")) & same).drop("_own")
+    met = rows.join(known, (F.col("_h") == F.col("wh")) & same, "left")
+    return met.filter((F.col("_at") == 0) | F.col("wh").isNotNull()).drop("_own")
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, keep: list[str], size: int) -> DataFrame:
@@ -118,16 +122,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Da
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """The rows of docs, all columns, that no benchmark window occurs in.
 
-    Rows are numbered in two scans of docs, so it must be a table that was read, not a plan with a shuffle.
+    Rows are numbered once, in a written table: whatever plan docs is, its rows keep their numbers.
     """
     own = [f"c{k}" for k in range(len(docs.columns))]
-    inner = docs.toDF(*own)
     text = own[[c.lower() for c in docs.columns].index("text")]
-    met = find_leaks(inner.select(F.col(text).alias("text")), benchmark, size)
-    kept = [F.col("text") if c == text else F.col(c) for c in own]
-    leaks = met.filter("_at > 0").select(F.col("_row").alias("leak")).distinct()
-    rows = inner.withColumnRenamed(text, "text").withColumn("_row", F.monotonically_increasing_id())
-    return rows.join(leaks, rows["_row"] == leaks["leak"], "left_anti").select(*kept).toDF(*docs.columns)
+    rows = written(docs.toDF(*own).withColumn("number", F.monotonically_increasing_id()))
+    met = find_leaks(rows.select("number", F.col(text).alias("text")), benchmark, size)
+    leaks = met.filter("_at > 0").select(F.col("number").alias("leak")).distinct()
+    return rows.join(leaks, rows["number"] == leaks["leak"], "left_anti").select(*own).toDF(*docs.columns)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,11 +9,15 @@ than the code corrects, or when two codewords are about as near.
 
 Codes: all ways to split up to 6 languages in two; for more, the best of some
 random codes by their least distance.  Classifiers learn from a sample of at
-most ``SAMPLE`` rows a language, chosen by a hash of doc_id at a rate that comes from
-counts over all rows.
+most ``SAMPLE`` rows a language, those with the least hashes of doc_id and text;
+rates from counts over all rows keep the others out beforehand.  What leaves the
+executors is the sample's n-gram counts, not its texts.
 
 Only text is an input of a prediction.  A text that is null or has no letter is
-``und`` with score 0; so is every text if there is nothing to learn from.
+``und`` with score 0; so is every text if there is nothing to learn from.  Rows with
+null or repeated doc_ids are rows of their own, and repeated rows count each (at one
+hash, they are taken alike).  Ties between codewords go to the first language by name.
+Texts of any length are read whole; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import arrowtext as X
@@ -30,6 +34,8 @@ from .quality import remainder
 from ..plans.tables import columns
 
 SAMPLE, EPOCHS, RATE, SCALE = 800, 4, 0.5, 10.0
+#: More languages than this are no list of languages.
+MOST = 2000
 _BITS = 16
 #: Small letters and bytes above ASCII as they are, capitals as small letters, all else a space.
 _FOLD = np.full(256, 32, np.uint8)
@@ -56,20 +62,19 @@ def grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return two.astype(np.int64), (((three * np.uint32(2654435761)) >> np.uint32(32 - _BITS)) + np.uint32(1 << 16)).astype(np.int64)
 
 
-def _counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(text, np.uint8)
+def shares(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-gram numbers of a text and their scaled shares."""
     found = np.concatenate(grams(data)) if len(data) > 2 else np.zeros(0, np.int64)
     at, n = np.unique(found, return_counts=True)
-    return at, n / max(1, len(found)) * SCALE
+    return at.astype(np.int32), n / max(1, len(found)) * SCALE
 
 
-def train(rows: list[tuple[bytes, int]], words: np.ndarray) -> np.ndarray:
-    """Weights (features by bits) by adaptive gradient steps; the last row is the bias."""
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], words: np.ndarray) -> np.ndarray:
+    """Weights (features by bits) by adaptive gradient steps on (numbers, shares, language) rows; the last row is the bias."""
     size, bits = (1 << 16) + (1 << _BITS), words.shape[1]
     w, seen = np.zeros((size + 1, bits)), np.full((size + 1, bits), 1e-3)
     made = []
-    for text, k in rows:
-        at, x = _counts(text)
+    for at, x, k in rows:
         made.append((np.append(at, size), np.append(x, 1.0)[:, None], words[k]))
     order = np.random.default_rng(3)
     for _ in range(EPOCHS):
@@ -124,14 +129,28 @@ def learn(docs: DataFrame, fold: int = 4, held: int = 2, sample: int = SAMPLE) -
     langs = sorted(counts)
     if not langs:
         return [], np.zeros((1, 0), np.float32)
-    # Rates are by language; about ``sample`` rows pass, and a limit makes the bound hard.
-    rate = F.lit(0.0)
-    for lang in langs:
-        rate = F.when(F.col("lang") == lang, min(1.0, sample / counts[lang])).otherwise(rate)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    chosen = own.filter("text IS NOT NULL").filter(place < rate).select("doc_id", "lang", F.col("text").cast("binary").alias("t")).limit(2 * sample * len(langs))
-    rows = sorted((r["doc_id"] or 0, bytes(r["t"]), langs.index(r["lang"])) for r in chosen.toLocalIterator())
-    return langs, train([(t, k) for _, t, k in rows], code(len(langs)))
+    if len(langs) > MOST:
+        raise ValueError(f"{len(langs)} languages are beyond {MOST}")
+    # Rates are by language: about twice the sample passes, and the least hashes of it are taken.
+    place = F.xxhash64("doc_id", "text")
+    rates = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, 2 * sample / counts[lang]))])
+    some = own.filter("text IS NOT NULL").filter(F.pmod(place, F.lit(1_000_003)) / F.lit(1_000_003.0) < F.element_at(rates, F.col("lang")))
+    ranked = some.withColumn("place", place).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place")))
+    chosen = ranked.filter(F.col("n") <= sample).select("place", "lang", "text")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in X.slices(whole, "text"):
+                data, offsets = X.buffers(part.column("text"))
+                found = [shares(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_pydict({
+                    "place": part.column("place"), "lang": part.column("lang"),
+                    "at": pa.array([at.tobytes() for at, _ in found], pa.binary()), "x": pa.array([x.astype(np.float32).tobytes() for _, x in found], pa.binary()),
+                })
+
+    made = chosen.mapInArrow(read, "place long, lang string, at binary, x binary").toLocalIterator()
+    rows = sorted((r["place"], langs.index(r["lang"]), bytes(r["at"]), bytes(r["x"])) for r in made)
+    return langs, train([(np.frombuffer(at, np.int32), np.frombuffer(x, np.float32), k) for _, k, at, x in rows], code(len(langs)))
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:

@@ -19,9 +19,11 @@ deviations).  Whatever passes is decided by the sets themselves, so no link is f
 
 A group of many near copies shares keys.  First each member is compared with one
 other: the first that may be near it, in one order of all classes, among the first
-ones of its keys.  Then, where a key still has several components, all members
-outside its largest one with all the others, within the join, which gives out
-pairs between components only.
+ones of its keys.  These links are trees, whose roots are found by jumps.  Then, where
+a key still has several components, all members outside its largest one are compared
+with all the others, within the join, which gives out pairs between components only;
+the components over them are those of all.  Keys are dealt twice, without texts or sets:
+candidates cost no further shuffle, however many there are.
 
 Rows with null or repeated ids are rows of their own.  Long texts are whole sets;
 an empty table gives none.
@@ -34,19 +36,20 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType
 
 from . import arrowtext as X
 from .bits import bitmap, passes
+from .rows import map_rows
 from .simhash import decode
 from ..operators.components import components
-from ..plans.tables import columns, written
+from ..plans.tables import columns, drop, shared, written
 
 SHINGLE, BANDS, LENGTH, MOST = 5, 6, 23, 6
-#: Bits of all fingerprints, and of the SHOWN that key rows carry, that near copies may differ in.
-APART, SHOWN, SOME = 95, 2, 40
+#: Bits of all fingerprints, and of the one that key rows carry, that near copies may differ in.
+APART, SOME = 95, 24
 _U = np.uint64
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, BANDS, dtype=_U) * _U(2) + _U(1)
 _PRINTS = [f"f{k}" for k in range(BANDS)]
@@ -130,20 +133,18 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prints = np.stack([part.column(c).to_numpy().view(_U) for c in _PRINTS], 1)
             key, row = keys(prints)
             own = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(key), *(part.column(c).take(own) for c in ("cls", "root", "n", *_PRINTS[:SHOWN]))], ["key", "cls", "root", "n", *_PRINTS[:SHOWN]])
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(part.column(c).take(own) for c in ("id", "root", _PRINTS[0]))], ["key", "id", "root", "f"])
 
 
 def keyed(rooted: DataFrame) -> DataFrame:
-    """A row for each key of each class (cls, root, n and fingerprints), dealt by key."""
-    spark = rooted.sparkSession
-    schema = "key int, cls long, root long, n int, " + ", ".join(f"{c} long" for c in _PRINTS[:SHOWN])
-    return rooted.select("cls", "root", "n", *_PRINTS).mapInArrow(_keyed, schema).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
+    """A row for each key of each class (id, root and one fingerprint), dealt by key."""
+    parts = int(rooted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Keys are many times what they come from: the classes are dealt out first.
+    return rooted.select("id", "root", *_PRINTS).repartition(parts, "id").mapInArrow(_keyed, "key int, id long, root long, f long").repartition(parts, "key")
 
 
-def _possible(n: Column, m: Column, one: list[Column], other: list[Column], apart: int) -> Column:
-    """Whether the sizes and fingerprints of two classes allow 0.8."""
-    bits = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(one, other, strict=True)), F.lit(0))
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (bits <= apart)
+def _apart(one: Column, other: Column) -> Column:
+    return F.bit_count(one.bitwiseXOR(other))
 
 
 def _near(one: Column, other: Column) -> Column:
@@ -151,15 +152,29 @@ def _near(one: Column, other: Column) -> Column:
     return 9 * F.size(F.array_intersect(one, other)) >= 4 * (F.size(one) + F.size(other))
 
 
-def _verified(pairs: DataFrame, one: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are near copies.  Only sets of classes that are in pairs leave the texts."""
-    spark = pairs.sparkSession
-    left, right = (one.select(F.col("cls").alias(c), *[F.col(f).alias(f"{f}{c}") for f in ("n", *_PRINTS)]) for c in "ab")
-    of = lambda c: [F.col(f"{f}{c}") for f in _PRINTS]
-    both = pairs.join(left, "a").join(right, "b").filter(_possible(F.col("na"), F.col("nb"), of("a"), of("b"), APART))
-    pairs = written(both.select("a", "b"))
-    some = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    wanted = spark.sparkContext.broadcast(bitmap(some, "c"))
+class _Tables:
+    """Written tables of one run, to be removed when it is done."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def keep(self, frame: DataFrame) -> DataFrame:
+        self.paths.append(shared(self.spark))
+        return written(frame, self.paths[-1])
+
+    def drop(self) -> None:
+        for p in self.paths:
+            drop(self.spark, p)
+
+
+def _verified(pairs: DataFrame, one: DataFrame, texts: DataFrame, tables: _Tables) -> DataFrame:
+    """The pairs (a, b) of ids that are near copies.  Only sets of classes that are in pairs leave the texts."""
+    left, right = (one.select(F.col("id").alias(c), F.col("cls").alias(f"cls{c}"), F.col("n").alias(f"n{c}"), *[F.col(f).alias(f"{f}{c}") for f in _PRINTS]) for c in "ab")
+    bits = sum((_apart(F.col(f"{f}a"), F.col(f"{f}b")) for f in _PRINTS), F.lit(0))
+    may = (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (bits <= APART)
+    pairs = tables.keep(pairs.join(left, "a").join(right, "b").filter(may).select("a", "b", "clsa", "clsb"))
+    some = pairs.select(F.col("clsa").alias("c")).union(pairs.select("clsb")).distinct()
+    wanted = pairs.sparkSession.sparkContext.broadcast(bitmap(some, "c"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -173,49 +188,66 @@ def _verified(pairs: DataFrame, one: DataFrame, texts: DataFrame) -> DataFrame:
                 take = np.arange(bounds[-1]) + np.repeat(at[:-1][pick] - bounds[:-1], np.diff(at)[pick])
                 yield pa.RecordBatch.from_pydict({"cls": _signed(cls[pick]), "set": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), _signed(v[take]))})
 
-    held = texts.select("text").mapInArrow(sets, "cls long, set array<long>").groupBy("cls").agg(F.first("set").alias("set"))
-    held = written(held)
-    left, right = held.select(F.col("cls").alias("a"), F.col("set").alias("x")), held.select(F.col("cls").alias("cb"), F.col("set").alias("y"))
-    return written(pairs.join(left, "a").join(right, (F.col("b") == F.col("cb")) & _near(F.col("x"), F.col("y"))).select("a", "b"))
-
-
-def links(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Near copies (a, b) among the classes, enough of them to connect each component."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    one = rows.filter("n > 0").drop("doc_id").repartition(parts, "cls").dropDuplicates(["cls"])
-    shown = _PRINTS[:SHOWN]
-    of = lambda name: [F.col(f"{name}.{c}") for c in shown]
-
-    order = Window.partitionBy("key").orderBy("o", "cls").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    each = keyed(one.withColumn("root", F.col("cls"))).withColumn("o", F.xxhash64("cls"))
-    each = each.withColumn("l", F.first(F.struct("o", "cls", "n", *shown)).over(order))
-    may = (F.col("cls") != F.col("l.cls")) & _possible(F.col("n"), F.col("l.n"), [F.col(c) for c in shown], of("l"), SOME)
-    best = each.filter(may).groupBy("cls").agg(F.min(F.struct("l.o", "l.cls")).alias("l"))
-    first = _verified(written(best.select(F.col("cls").alias("a"), F.col("l.cls").alias("b"))), one, texts)
-
-    roots = written(components(first))
-    rooted = one.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
-    by_key, by_root = Window.partitionBy("key"), Window.partitionBy("key", "root")
-    several = keyed(rooted).withColumn("low", F.min("root").over(by_key)).withColumn("high", F.max("root").over(by_key)).filter("low <> high")
+    held = tables.keep(texts.select("text").mapInArrow(sets, "cls long, set array<long>").groupBy("cls").agg(F.first("set").alias("set")))
+    wanted.destroy()
+    left, right = held.select(F.col("cls").alias("clsa"), F.col("set").alias("x")), held.select(F.col("cls").alias("c"), F.col("set").alias("y"))
+    return tables.keep(pairs.join(left, "clsa").join(right, (F.col("clsb") == F.col("c")) & _near(F.col("x"), F.col("y"))).select("a", "b"))
+
+
+def _roots(first: DataFrame, tables: _Tables) -> DataFrame:
+    """(node, root) of trees of links from a to b: each round halves the ways that are left."""
+    done, now = None, tables.keep(first.select(F.col("a").alias("node"), F.col("b").alias("root")))
+    while True:
+        up = now.select(F.col("node").alias("above"), F.col("root").alias("top"))
+        if done is not None:
+            up = up.unionByName(done.select(F.col("node").alias("above"), F.col("root").alias("top")))
+        next_ = tables.keep(now.join(up, F.col("root") == F.col("above"), "left").select("node", F.coalesce("top", "root").alias("root"), F.col("above").isNull().alias("settled")))
+        own = next_.filter("settled").drop("settled")
+        done = own if done is None else done.unionByName(own)
+        now = next_.filter("NOT settled").drop("settled")
+        if now.isEmpty():
+            return done
+
+
+def components_of(rows: DataFrame, texts: DataFrame, tables: _Tables) -> DataFrame:
+    """cls and root (equal for near copies) of every class that has a set."""
+    distinct = rows.filter("n > 0").drop("doc_id").dropDuplicates(["cls"])
+    one = tables.keep(distinct.withColumn("id", F.monotonically_increasing_id()))
+
+    order = Window.partitionBy("key").orderBy("o", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = keyed(one.withColumn("root", F.col("id"))).drop("root").withColumn("o", F.xxhash64("id"))
+    each = each.withColumn("l", F.first(F.struct("o", "id", "f")).over(order)).filter((F.col("id") != F.col("l.id")) & (_apart(F.col("f"), F.col("l.f")) <= SOME))
+    best = tables.keep(each.groupBy("id").agg(F.min(F.struct("l.o", "l.id")).alias("l")).select(F.col("id").alias("a"), F.col("l.id").alias("b")))
+    roots = _roots(_verified(best, one, texts, tables), tables)
+
+    rooted = tables.keep(one.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node"))
+    again, by_key, by_root = keyed(rooted), Window.partitionBy("key"), Window.partitionBy("key", "root")
+    several = again.withColumn("low", F.min("root").over(by_key)).withColumn("high", F.max("root").over(by_key)).filter("low <> high")
     several = several.withColumn("c", F.count("*").over(by_root))
-    several = written(several.withColumn("main", F.first("root").over(by_key.orderBy(F.desc("c"), "root"))).select("key", "cls", "root", "main", "n", *shown))
-    p, q = several.filter("root <> main").alias("p"), several.alias("q")
+    p = several.withColumn("main", F.first("root").over(by_key.orderBy(F.desc("c"), "root"))).filter("root <> main").alias("p")
+    q = again.alias("q")
     # Two outside the largest component meet twice: once is enough.
-    once = (F.col("q.root") == F.col("q.main")) | (F.col("p.root") < F.col("q.root"))
-    more = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & once & _possible(F.col("p.n"), F.col("q.n"), of("p"), of("q"), SOME))
-    pairs = written(more.select(F.least("p.cls", "q.cls").alias("a"), F.greatest("p.cls", "q.cls").alias("b")).distinct())
-    return first.unionByName(_verified(pairs, one, texts))
+    once = (F.col("q.root") == F.col("p.main")) | (F.col("p.root") < F.col("q.root"))
+    more = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & once & (_apart(F.col("p.f"), F.col("q.f")) <= SOME))
+    pairs = tables.keep(more.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct())
+    found, at = _verified(pairs, one, texts, tables), rooted.select("id", "root")
+    edges = found.join(at.toDF("a", "x"), "a").join(at.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    merged = components(edges).select(F.col("node"), F.col("root").alias("top"))
+    return rooted.join(merged, F.col("root") == F.col("node"), "left").select("cls", F.coalesce("top", "root").alias("root"))
 
 
 def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id and cls of every row; and for each class its component's root and smallest doc_id (null ids don't count)."""
-    texts = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts, tables = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _Tables(docs.sparkSession)
     rows = written(texts.mapInArrow(_printed, "doc_id long, cls long, n int, " + ", ".join(f"{c} long" for c in _PRINTS)))
-    roots = components(links(rows, texts))
+    roots = components_of(rows, texts, tables).withColumnRenamed("cls", "c")
     each = rows.groupBy("cls").agg(F.min("doc_id").alias("own"))
-    rooted = each.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "own", F.coalesce("root", "cls").alias("root"))
+    # The class of texts without words has no set and is a component of its own.
+    rooted = each.join(roots, F.col("cls") == F.col("c"), "left").select("cls", "own", F.coalesce("root", F.lit(-1)).alias("root"))
     least = rooted.groupBy("root").agg(F.min("own").alias("least"))
-    return rows.select("doc_id", "cls"), written(rooted.join(least, "root").select("cls", "root", "least"))
+    known = written(rooted.join(least, "root").select("cls", "root", "least"))
+    tables.drop()
+    return rows.select("doc_id", "cls"), known
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -232,13 +264,12 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     while any(c.lower().startswith(name) for c in docs.columns):
         name += "_"
 
-    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for part in X.slices(whole, "text"):
-                yield part.append_column(name, _signed(classes(*shingles(part))))
+    def tag(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in X.slices(batch, "text"):
+            yield part.append_column(name, _signed(classes(*shingles(part))))
 
     known = known.select(F.col("cls").alias(name + "c"), F.col("root").alias(name + "r"), F.col("least").alias(name + "l"))
-    tagged = docs.mapInArrow(tag, StructType([*docs.schema.fields]).add(name, "long"))
+    tagged = map_rows(docs, tag, **{name: LongType()})
     found = tagged.join(known, F.col(name) == F.col(name + "c")).filter(F.col("doc_id").cast("long").eqNullSafe(F.col(name + "l")))
     one = found.withColumn(name + "n", F.row_number().over(Window.partitionBy(name + "r").orderBy("doc_id")))
     return one.filter(F.col(name + "n") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -12,8 +12,10 @@ is bounded by a pool; sequence ids hold the partition's number.
 Tokenizing.  Texts of ASCII and Latin-1 letters are cut into words by the
 tokenizer's own pattern, and each different word is encoded once; other texts,
 and those that may hold a special token, go to the tokenizer whole.  Both give
-the same ids.  A null text is empty: its only id is the end.  Rows with the same
-doc_id are documents of their own.
+the same ids; where the words of texts and their ids can't be told apart, the texts go
+to the tokenizer whole, too.  A null text is empty: its only id is the end.  Rows with
+the same doc_id are documents of their own; an empty table gives none.  A text is
+tokenized whole, however long.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from . import arrowtext as X
 from ..plans.tables import columns
 
-LENGTH, END, POOL = 2048, 1, 1 << 22
+LENGTH, END, POOL, PIECES = 2048, 1, 1 << 22, 1 << 18
 VOCABULARY = "word_bpe_49k.json"
 _LETTERS, _NUMBERS = "a-zß-öø-ÿ", "0-9²³¹¼-¾"
 #: Characters whose lower case and class the pattern below knows.
@@ -57,13 +59,15 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.ids, self.bounds, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 0
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> bool:
+        """Encodes new words together; False where their ids don't show where each ends."""
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):
-                raise ValueError("words and ids don't agree")
+                self._forget([w for w in new if w in self.known])
+                return False
             n, at = len(self.known), self.used
             while at + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -73,6 +77,7 @@ class Encoder:
             self.bounds[n + 1 : n + 1 + len(part)] = ends + at
             self.used = at + len(ids)
             self.known.update(zip(part, range(n, n + len(part)), strict=True))
+        return True
 
     def _forget(self, words: list[str]) -> None:
         """Takes out the words that were learned last."""
@@ -86,7 +91,8 @@ class Encoder:
         seen = set().union(*(x for x in cut if x is not None))
         new = [w for w in seen if w not in self.known]
         room = max(0, self.most - len(self.known))
-        self._learn(new)
+        if not self._learn(new):
+            room, cut = len(new), [None] * len(texts)
         out = []
         for text, found in zip(texts, cut, strict=True):
             if found is None:
@@ -160,7 +166,7 @@ _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def pack(docs: DataFrame, length: int = LENGTH, end: int = END, pool: int = POOL, ids: bool = True, path: str | None = None) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if ``ids``, its ids.
 
-    ``pool`` is the number of ids that a task packs together.
+    ``pool`` is the number of ids that a task packs together (``PIECES`` pieces at most).
     """
 
     def flush(pieces: list[tuple], first: int) -> tuple[pa.RecordBatch, int]:
@@ -188,7 +194,8 @@ def pack(docs: DataFrame, length: int = LENGTH, end: int = END, pool: int = POOL
                         own = found[a : a + length]
                         pieces.append((doc_id, a, len(own), zlib.crc32(own.tobytes()), len(found), own if ids else None))
                     held += len(found)
-                    if held >= pool:
+                    # Pieces of few ids are bounded by their number.
+                    if held >= pool or len(pieces) >= PIECES:
                         out, first = flush(pieces, first)
                         pieces, held = [], 0
                         yield out

@@ -10,7 +10,10 @@ a score is the logistic function of the sparse dot product with a text's
 features.  A text without words (null, too) scores the bias alone.
 
 Only text is an input of a score.  Rows with null or repeated ids are scored
-like others; labels whose quality is null are not learned from.
+like others, and texts of any length whole; an empty table gives none.  Labels whose
+quality or doc_id is null are not learned from; of several labels of one id the
+greatest counts, and of several rows of one id the one whose text has the least hash
+is learned from.  Without any labelled row every score is 0.5.
 """
 
 from __future__ import annotations
@@ -19,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import arrowtext as X
+from .rows import map_rows
 from ..plans.tables import columns
 
 SAMPLE, BITS, EPOCHS, KEEP = 6000, 20, 6, 0.3
@@ -119,7 +123,10 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, samp
                 found = [shares(all_of[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "label": part.column("label"), "found": pa.array(found, pa.binary())})
 
-    own = columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "text")
+    met = columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "text")
+    # One row of each id, or a repeated id would bring any number of rows.
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    own = met.withColumn("n", first).filter("n = 1").drop("n")
     rows = sorted((doc_id, found, label) for doc_id, label, found in own.mapInArrow(read, "doc_id long, label int, found binary").toLocalIterator())
     half = lambda found, k: np.frombuffer(found, (np.int32, np.float32)[k]).reshape(2, -1)[k]
     return train([(half(found, 0), half(found, 1), label) for _, found, label in rows])
@@ -150,15 +157,17 @@ def scores(part: pa.RecordBatch, weights: np.ndarray, bias: float) -> np.ndarray
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = KEEP) -> DataFrame:
-    """The rows of docs, all columns, that score ``least`` or more."""
+    """The rows of docs, all columns, that score ``least`` or more.
+
+    A null or empty text scores the bias alone; an empty table gives none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for part in X.slices(whole, "text", 2 << 20):
-                yield part.filter(pa.array(scores(part, *shared.value) >= least))
+    def pick(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in X.slices(batch, "text", 2 << 20):
+            yield part.filter(pa.array(scores(part, *shared.value) >= least))
 
-    return docs.mapInArrow(pick, docs.schema)
+    return map_rows(docs, pick)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

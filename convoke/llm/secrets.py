@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from . import arrowtext as X
 from .automaton import Automaton, compiled
+from .rows import map_rows
 from ..plans.tables import columns
 
 KINDS = ("assign", "access", "hex")
@@ -139,8 +140,11 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with each secret in ``text`` replaced by its kind in brackets; n_chars, if there, follows."""
-    schema, rules = docs.schema, automaton()
+    """docs, all columns, with each secret in ``text`` replaced by its kind in brackets; n_chars, if there, follows.
+
+    Of secrets that overlap the first one's kind stands for all.  A null text stays null.
+    """
+    rules = automaton()
 
     def blot(text: bytes, own: list[tuple[int, int, int, bool]]) -> bytes:
         out, done = [], 0
@@ -150,24 +154,23 @@ def redact(docs: DataFrame) -> DataFrame:
             done = max(done, b)
         return b"".join([*out, text[done:]])
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for part in X.slices(whole, "text"):
-                data, offsets = X.buffers(part.column("text"))
-                raw = data.tobytes()
-                texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                found = spans(texts, rules)
-                if any(found):
-                    valid = part.column("text").is_valid().to_pylist()
-                    new = [None if not ok else blot(t, own).decode("utf-8", "replace") for ok, t, own in zip(valid, texts, found, strict=True)]
-                    part = part.set_column(part.schema.get_field_index("text"), part.schema.field("text"), pa.array(new, part.schema.field("text").type))
-                    if "n_chars" in part.schema.names:
-                        k = part.schema.get_field_index("n_chars")
-                        old = part.column("n_chars").to_pylist()
-                        part = part.set_column(k, part.schema.field("n_chars"), pa.array([len(t) if own else n for t, own, n in zip(new, found, old, strict=True)], part.schema.field("n_chars").type))
-                yield part
-
-    return docs.mapInArrow(write, schema)
+    def write(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in X.slices(batch, "text"):
+            data, offsets = X.buffers(part.column("text"))
+            raw = data.tobytes()
+            texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            found = spans(texts, rules)
+            if any(found):
+                valid = part.column("text").is_valid().to_pylist()
+                new = [None if not ok else blot(t, own).decode("utf-8", "replace") for ok, t, own in zip(valid, texts, found, strict=True)]
+                part = part.set_column(part.schema.get_field_index("text"), part.schema.field("text"), pa.array(new, part.schema.field("text").type))
+                if "n_chars" in part.schema.names:
+                    k = part.schema.get_field_index("n_chars")
+                    old = part.column("n_chars").to_pylist()
+                    part = part.set_column(k, part.schema.field("n_chars"), pa.array([len(t) if own else n for t, own, n in zip(new, found, old, strict=True)], part.schema.field("n_chars").type))
+            yield part
+
+    return map_rows(docs, write)
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -17,7 +17,11 @@ the join, which gives out true links only.
 
 Components are found over different fingerprints, so copies are never expanded
 into pairs.  component_id is the smallest doc_id reachable; null ids don't count
-(null if there is no other).  Rows that share a doc_id are rows of their own.
+(null if there is no other).  Rows that share a doc_id are rows of their own.  Texts
+of any length are read whole, in steps of shingles; an empty table gives none.
+
+A key that many different fingerprints have is compared with all of them: work
+grows with the square of such a key's fingerprints, not of its rows.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrowtext as X
@@ -142,32 +146,5 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs, all columns, without those that have an earlier near-duplicate.
-
-    The row with the smallest doc_id of each component stays.  Where ids repeat
-    or are null, one row of the component stays (null ids last).
-    """
-    found = written(near_duplicates(docs, shingle).select("doc_id", "component_id", "root"))
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    odd = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").select("doc_id")
-    if odd.isEmpty():
-        return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
-    strange = odd.select(F.col("doc_id").alias("odd_id"))
-    plain = docs.join(strange, docs["doc_id"] == strange["odd_id"], "left_anti").filter(docs["doc_id"].isNotNull())
-    kept = plain.join(gone, plain["doc_id"] == gone["doc_id"], "left_anti")
-    rest = docs.join(strange, docs["doc_id"].eqNullSafe(strange["odd_id"]), "left_semi")
-    name = "_root"
-    while name in {c.lower() for c in docs.columns}:
-        name += "_"
-    prints = F.udf(lambda t: int(np.uint64(fingerprint((t or "").encode().lower().split(), shingle)).astype(np.int64)), "long")
-    roots = near_duplicates(docs, shingle).groupBy("fingerprint").agg(F.first("root").alias(name), F.first("component_id").alias(name + "c"))
-    rest = rest.withColumn(name + "f", F.lower(F.lpad(F.hex(prints("text")), 16, "0")))
-    rest = rest.join(roots, rest[name + "f"] == roots["fingerprint"]).drop("fingerprint")
-    rest = rest.filter(F.col(name + "c").isNull() | F.col("doc_id").eqNullSafe(F.col(name + "c")))
-    one = rest.withColumn(name + "n", F.row_number().over(Window.partitionBy(name).orderBy(F.col("doc_id").asc_nulls_last())))
-    return kept.unionByName(one.filter(F.col(name + "n") == 1).drop(name, name + "c", name + "f", name + "n"))
-
-
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("root")

@@ -7,9 +7,13 @@ the trie of all pieces with failure links: where no edge goes on, the pieces
 that are certain by then are popped, and their number is known beforehand, so no
 piece is built and no byte is read twice.
 
-Each different word of a block of texts is run once, all words in step.  Words
-are runs of bytes other than space and the controls 9 to 13, lower-cased in A-Z.
-A null text has no words.  Rows with the same doc_id are rows of their own.
+Each different word of a block of texts is run once, all words in step.  A word of
+over ``LONG`` bytes runs as parts that first assume the root; where the part before
+ends elsewhere, a part is run again from there until both runs are in one state, and
+what they popped by then is set right.  So long unbroken runs cost what their length is.
+Words are runs of bytes other than space and the controls 9 to 13, lower-cased in A-Z.
+A null or empty text has no words.  Rows with the same doc_id are rows of their own;
+an empty table gives none.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from . import arrowtext as X
 from ..plans.tables import columns
 
-VOCABULARY = "word_bpe_49k.json"
+VOCABULARY, LONG, PART = "word_bpe_49k.json", 2048, 256
 
 
 def byte_of_letter() -> dict[str, int]:
@@ -61,6 +65,28 @@ class Matcher:
 
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Number of pieces of each word data[start:end]; no word is empty."""
+        long = np.flatnonzero(ends - starts > LONG)
+        if not len(long):
+            n, node = self._run(data, starts, ends)
+            return n + self._popped(node)
+        out, short = np.empty(len(starts), np.int64), np.flatnonzero(ends - starts <= LONG)
+        n, node = self._run(data, starts[short], ends[short])
+        out[short] = n + self._popped(node)
+        out[long] = [self._long(data, int(a), int(b)) for a, b in zip(starts[long], ends[long], strict=True)]
+        return out
+
+    def _popped(self, node: np.ndarray) -> np.ndarray:
+        """Pieces that the ends of words pop."""
+        n, node = np.zeros(len(node), np.int64), node.copy()
+        lane = np.flatnonzero(node)
+        while len(lane):
+            n[lane] += self.popped[node[lane]]
+            node[lane] = self.fail[node[lane]]
+            lane = lane[node[lane] != 0]
+        return n
+
+    def _run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, path: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces popped within each word, and the node at its end; ``path`` gets both after each byte."""
         length = ends - starts
         order = np.argsort(-length, kind="stable")
         begin, size = starts[order], length[order]
@@ -76,14 +102,43 @@ class Matcher:
                 lane, byte = lane[~on], byte[~on]
                 n[lane] += self.popped[node[lane]]
                 node[lane] = self.fail[node[lane]]
-        lane = np.flatnonzero(node)
-        while len(lane):
-            n[lane] += self.popped[node[lane]]
-            node[lane] = self.fail[node[lane]]
-            lane = lane[node[lane] != 0]
-        out = np.empty(len(n), np.int64)
-        out[order] = n
-        return out
+            if path is not None:
+                path[order[:live], step, 0], path[order[:live], step, 1] = node[:live], n[:live]
+        out, last = np.empty_like(n), np.empty_like(node)
+        out[order], last[order] = n, node
+        return out, last
+
+    def _long(self, data: np.ndarray, start: int, end: int) -> int:
+        """Number of pieces of one long word."""
+        total, node = 0, 0
+        # So many parts at a time as a path of them takes 16 MB.
+        for a in range(start, end, PART << 12):
+            starts = np.arange(a, min(a + (PART << 12), end), PART)
+            ends = np.minimum(starts + PART, end)
+            path = np.zeros((len(starts), PART, 2), np.int64)
+            n, last = self._run(data, starts, ends, path)
+            for k, (b, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+                own, begun = 0, node
+                for step in range(e - b) if begun else ():
+                    pops, node = self._step(node, int(data[b + step]))
+                    own += pops
+                    if node == path[k, step, 0]:
+                        # From here on both runs are one.
+                        total, node = total + own + int(n[k] - path[k, step, 1]), int(last[k])
+                        break
+                else:
+                    total, node = (total + own, node) if begun else (total + int(n[k]), int(last[k]))
+        return total + int(self._popped(np.array([node]))[0])
+
+    def _step(self, node: int, byte: int) -> tuple[int, int]:
+        """Pieces that a byte pops, and the node after it."""
+        n = 0
+        while True:
+            key = node * 256 + byte
+            at = int(np.searchsorted(self.edges, key))
+            if at < len(self.edges) and self.edges[at] == key:
+                return n, int(self.to[at])
+            n, node = n + int(self.popped[node]), int(self.fail[node])
 
 
 def matcher(vocabulary: list[bytes]) -> Matcher:

@@ -10,15 +10,18 @@ that follow from the threshold.  A low one is used on lengths: only vectors
 that are long enough are multiplied.  What is left is verified by exact products,
 so results are those of all pairs.
 
-Queries come in blocks of bounded size; each block meets all vectors where they
-are, and tasks hand on their k best for each query.  Thresholds start from the
+Queries come in blocks of bounded size and number of bytes, dealt once to a table
+by block.  One block at a time is sent to all tasks (the driver holds no more than
+that), meets all vectors where they are, and its tasks' k best for each query are
+written; the plan doesn't grow with the blocks.  Thresholds start from the
 ``SEEDS`` longest vectors.
 
 Vectors that are null, or hold a null or non-finite component, take no part.  A
 vector is no candidate for its own row; other rows with its id are.  Missing
 components of a shorter vector count as 0.  Products beyond a long are held at
 its ends.  Ties go to the smaller vec_id, null
-last; a null vec_id is no query.
+last; a null vec_id is no query.  Repeated ids are queries and candidates of their
+own; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -30,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import columns, written
+from ..plans.tables import columns, drop, shared, written
 
-K, EVERY, BLOCK, SEEDS, BUCKET = 10, 100, 2048, 1000, 512
+K, EVERY, BLOCK, SEEDS, BUCKET = 10, 100, 8192, 1000, 512
+#: Bytes of a block of queries, and of each side of the products that are verified at a time.
+BLOCK_BYTES, PAIR_BYTES = 32 << 20, 16 << 20
 #: From this cosine on coordinates prune more than they cost.
 COORDINATE = 0.5
 _LAST = np.iinfo(np.int64).max
@@ -132,8 +137,9 @@ class Block:
             best.add(loose[r], score[r, c], ids[c], uid[c])
         if rows:
             r, c = np.concatenate(rows), np.concatenate(cols)
-            for k in range(0, len(r), 1 << 16):
-                i, j = r[k : k + (1 << 16)], c[k : k + (1 << 16)]
+            step = max(1, PAIR_BYTES // max(8, 8 * x.shape[1]))
+            for k in range(0, len(r), step):
+                i, j = r[k : k + step], c[k : k + step]
                 score = paired(self.x[i], x[j])
                 ok = (score >= floor[i]) & (self.uid[i] != uid[j])
                 best.add(i[ok], score[ok], ids[j[ok]], uid[j[ok]])
@@ -152,21 +158,25 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK
     rows = prepared(vectors)
     width, most = rows.agg(F.max(F.size("x")), F.count("*")).first()
     width = width or 0
+    block = max(1, min(block, BLOCK_BYTES // max(8, 8 * width)))
     asked = rows.filter(F.col("vec_id") % every == 0)
     blocks = max(1, -(-asked.count() // block))
+    place = shared(spark)
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int"))
+    dealt.repartition(min(blocks, 200), "block").write.partitionBy("block").parquet(place)
     seeds = rows.orderBy(F.desc("norm"), "vec_id", "uid").limit(SEEDS).collect() if most else []
-    out = None
+    found = shared(spark)
     for b in range(blocks):
-        mine = asked.filter(F.pmod(F.xxhash64("uid"), F.lit(blocks)) == b).collect()
+        mine = spark.read.schema(dealt.schema).parquet(place).filter(F.col("block") == b).collect()
         own = Block([r["uid"] for r in mine], [r["vec_id"] for r in mine], matrix([r["x"] for r in mine], width))
         if mine and seeds:
             start = Best(len(mine), k)
             own.bucket(start, np.array([r["norm"] for r in seeds]), np.array([_LAST if r["vec_id"] is None else r["vec_id"] for r in seeds]), np.array([r["uid"] for r in seeds]), matrix([r["x"] for r in seeds], width))
             own.floor = start.least()
-        shared = spark.sparkContext.broadcast(own)
+        sent = spark.sparkContext.broadcast(own)
 
-        def read(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = shared.value
+        def read(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            own = sent.value
             best = Best(len(own.uid), k)
             for whole in batches:
                 for at in range(0, whole.num_rows, BUCKET):
@@ -175,8 +185,10 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK
                     own.bucket(best, part.column("norm").to_numpy(), part.column("vec_id").fill_null(_LAST).to_numpy(), part.column("uid").to_numpy(), x)
             yield pa.RecordBatch.from_pydict({"quid": pa.array(own.uid[best.q]), "query_id": pa.array(own.ids[best.q]), "vec_id": pa.array(best.id), "uid": pa.array(best.uid), "score": pa.array(best.score)})
 
-        found = rows.mapInArrow(read, "quid long, query_id long, vec_id long, uid long, score long")
-        out = found if out is None else out.unionByName(found)
+        rows.mapInArrow(read, "quid long, query_id long, vec_id long, uid long, score long").write.mode("append").parquet(found)
+        sent.destroy()
+    drop(spark, place)
+    out = spark.read.schema("quid long, query_id long, vec_id long, uid long, score long").parquet(found)
     order = Window.partitionBy("quid").orderBy(F.desc("score"), F.asc("vec_id"), F.asc("uid"))
     ranked = out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.nullif(F.col("vec_id"), F.lit(_LAST)).alias("vec_id"), "score")

@@ -70,5 +70,45 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count() and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, nulls in any column, repeated rows and ids, and columns that clash with what stages use."""
+    shape = "doc_id long, text string, lang string, _row int, number string, cls int, root string, d int, H string, `a.b` int"
+    rows = [
+        (1, "one two three four five six seven", None, 1, "n", 1, "r", 1, "h", 1), (1, "one two three four five six seven", "en", 1, "n", 1, "r", 1, "h", 1), (None, "one two three four five six seven", "en", None, None, None, None, None, None, None),
+        (None, None, None, None, None, None, None, None, None, None), (7, None, "x", 1, "n", 1, "r", 1, "h", 1), (7, "", "x", 1, "n", 1, "r", 1, "h", 1), (8, "token = abcdefgh and more words to read", "x", 1, "n", 1, "r", 1, "h", 1), (9, "w " * 40_000, "x", 1, "n", 1, "r", 1, "h", 1),
+    ]
+    for name, n in (("full", len(rows)), ("none", 0)):
+        base = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows[:n], shape).write.parquet(f"{base}/documents.parquet")
+        labels = [(1, 1), (8, 1), (1, 0), (None, 1), (9, None)][: n and 5]
+        spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{base}/labels.parquet")
+        spark.createDataFrame([(None, "six seven"), (1, None), (2, "more words to read"), (2, "--")][: n and 4], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+        docs, left = spark.read.parquet(f"{base}/documents.parquet"), {}
+        columns = docs.columns
+        for stage, run in corpus_pipeline.STAGES:
+            docs = corpus_pipeline.written(run(spark, docs, base))
+            left[stage] = docs.count()
+            assert stage == "packing" or docs.columns == columns
+        assert corpus_pipeline.run(spark, base).count() == left["packing"]
+        if not n:
+            assert set(left.values()) == {0}
+    # Copies and texts without words are one row each; the benchmark has passages of two texts.
+    full = spark.read.parquet(f"{tmp_path}/full/documents.parquet")
+    once = corpus_pipeline.near_duplicates(spark, full, "")
+    assert sorted((r.doc_id or 0, (r.text or "")[:5]) for r in once.collect()) == [(1, "one t"), (7, ""), (8, "token"), (9, "w w w")]
+    clean = corpus_pipeline.benchmarks(spark, full, f"{tmp_path}/full")
+    assert sorted(str(r.doc_id) for r in clean.collect()) == ["7", "7", "9", "None"]
+    hidden = corpus_pipeline.secrets(spark, full, "")
+    assert hidden.filter("doc_id = 8").first().text == "[ASSIGN] and more words to read" and hidden.count() == len(rows)
+    assert corpus_pipeline.packing(spark, full, "").select("doc_id").distinct().count() == 5
+
+
+def test_benchmarks_of_a_plan_with_a_shuffle(spark, tmp_path):
+    """Rows keep their numbers whatever plan the documents are."""
+    spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.range(3000).selectExpr("id AS doc_id", "IF(id % 3 = 0, concat('x ', id, ' alpha beta gamma'), concat('y ', id)) AS text").repartition(7).orderBy("text").repartition(5)
+    assert sorted(r.doc_id for r in corpus_pipeline.benchmarks(spark, docs, str(tmp_path)).collect()) == [k for k in range(3000) if k % 3]
+
+
 def test_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
