@@ -19,7 +19,7 @@ deviations).  Whatever passes is decided by the sets themselves, so no link is f
 
 A group of many near copies shares keys.  First each member is compared with one
 other: the first that may be near it, in one order of all classes, among the first
-ones of its keys.  These links are trees, whose roots are found by jumps.  Then, where
+ones of the keys of FEW of its fingerprints.  These links are trees, whose roots are found by jumps.  Then, where
 a key still has several components, all members outside its largest one are compared
 with all the others, within the join, which gives out pairs between components only;
 the components over them are those of all.  Keys are dealt twice, without texts or sets:
@@ -48,11 +48,14 @@ from ..operators.components import components
 from ..plans.tables import columns, drop, shared, written
 
 SHINGLE, BANDS, LENGTH, MOST = 5, 6, 23, 6
-#: Bits of all fingerprints, and of the one that key rows carry, that near copies may differ in.
-APART, SOME = 95, 24
+#: Bits of all fingerprints, and of the SHOWN that key rows carry, that near copies may differ in.
+APART, SHOWN, SOME = 95, 2, 40
+#: Fingerprints whose keys give the first links; all of them give the others.
+FEW = 2
 _U = np.uint64
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, BANDS, dtype=_U) * _U(2) + _U(1)
 _PRINTS = [f"f{k}" for k in range(BANDS)]
+_SHOWN = _PRINTS[:SHOWN]
 
 
 def shingles(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -101,10 +104,10 @@ def near(segments: np.ndarray) -> np.ndarray:
     return -np.sort(-found, 1)[:, :MOST]
 
 
-def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all fingerprints (rows, BANDS) and the row that each is of."""
+def keys(prints: np.ndarray, bands: int = BANDS) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the first fingerprints (of rows, BANDS) and the row that each is of."""
     made, rows = [], []
-    for band in range(BANDS):
+    for band in range(bands):
         low, high = (near((prints[:, band] >> _U(LENGTH * k) & _U((1 << LENGTH) - 1)).astype(np.int64)).astype(np.int32) for k in range(2))
         row, a, b = np.nonzero((low[:, :, None] >= 0) & (high[:, None, :] >= 0))
         made.append(np.int32(band << 24) | low[row, a] << np.int32(12) | high[row, b])
@@ -126,25 +129,25 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "cls": _signed(classes(v, at)), "n": pa.array(np.diff(at).astype(np.int32))} | {c: _signed(prints[:, k]) for k, c in enumerate(_PRINTS)})
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 4096):
-            part = whole.slice(at, 4096)
-            prints = np.stack([part.column(c).to_numpy().view(_U) for c in _PRINTS], 1)
-            key, row = keys(prints)
-            own = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(key), *(part.column(c).take(own) for c in ("id", "root", _PRINTS[0]))], ["key", "id", "root", "f"])
+def keyed(rooted: DataFrame, bands: int = BANDS) -> DataFrame:
+    """A row for each key of each class (id, root and some fingerprints), dealt by key."""
+    parts, own = int(rooted.sparkSession.conf.get("spark.sql.shuffle.partitions")), ("id", "root", *_SHOWN)
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                part = whole.slice(at, 4096)
+                key, row = keys(np.stack([part.column(c).to_numpy().view(_U) for c in _PRINTS], 1), bands)
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(part.column(c).take(row) for c in own)], ["key", *own])
 
-def keyed(rooted: DataFrame) -> DataFrame:
-    """A row for each key of each class (id, root and one fingerprint), dealt by key."""
-    parts = int(rooted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Keys are many times what they come from: the classes are dealt out first.
-    return rooted.select("id", "root", *_PRINTS).repartition(parts, "id").mapInArrow(_keyed, "key int, id long, root long, f long").repartition(parts, "key")
+    return rooted.select("id", "root", *_PRINTS).repartition(parts, "id").mapInArrow(read, "key int, " + ", ".join(f"{c} long" for c in own)).repartition(parts, "key")
 
 
-def _apart(one: Column, other: Column) -> Column:
-    return F.bit_count(one.bitwiseXOR(other))
+def _apart(one: list[Column], other: list[Column]) -> Column:
+    """Bits in which fingerprints differ."""
+    return sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(one, other, strict=True)), F.lit(0))
 
 
 def _near(one: Column, other: Column) -> Column:
@@ -170,7 +173,7 @@ class _Tables:
 def _verified(pairs: DataFrame, one: DataFrame, texts: DataFrame, tables: _Tables) -> DataFrame:
     """The pairs (a, b) of ids that are near copies.  Only sets of classes that are in pairs leave the texts."""
     left, right = (one.select(F.col("id").alias(c), F.col("cls").alias(f"cls{c}"), F.col("n").alias(f"n{c}"), *[F.col(f).alias(f"{f}{c}") for f in _PRINTS]) for c in "ab")
-    bits = sum((_apart(F.col(f"{f}a"), F.col(f"{f}b")) for f in _PRINTS), F.lit(0))
+    bits = _apart([F.col(f"{f}a") for f in _PRINTS], [F.col(f"{f}b") for f in _PRINTS])
     may = (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (bits <= APART)
     pairs = tables.keep(pairs.join(left, "a").join(right, "b").filter(may).select("a", "b", "clsa", "clsb"))
     some = pairs.select(F.col("clsa").alias("c")).union(pairs.select("clsb")).distinct()
@@ -215,8 +218,9 @@ def components_of(rows: DataFrame, texts: DataFrame, tables: _Tables) -> DataFra
     one = tables.keep(distinct.withColumn("id", F.monotonically_increasing_id()))
 
     order = Window.partitionBy("key").orderBy("o", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    each = keyed(one.withColumn("root", F.col("id"))).drop("root").withColumn("o", F.xxhash64("id"))
-    each = each.withColumn("l", F.first(F.struct("o", "id", "f")).over(order)).filter((F.col("id") != F.col("l.id")) & (_apart(F.col("f"), F.col("l.f")) <= SOME))
+    shown = lambda of: [F.col(f"{of}{f}") for f in _SHOWN]
+    each = keyed(one.withColumn("root", F.col("id")), FEW).drop("root").withColumn("o", F.xxhash64("id"))
+    each = each.withColumn("l", F.first(F.struct("o", "id", *_SHOWN)).over(order)).filter((F.col("id") != F.col("l.id")) & (_apart(shown(""), shown("l.")) <= SOME))
     best = tables.keep(each.groupBy("id").agg(F.min(F.struct("l.o", "l.id")).alias("l")).select(F.col("id").alias("a"), F.col("l.id").alias("b")))
     roots = _roots(_verified(best, one, texts, tables), tables)
 
@@ -228,7 +232,7 @@ def components_of(rows: DataFrame, texts: DataFrame, tables: _Tables) -> DataFra
     q = again.alias("q")
     # Two outside the largest component meet twice: once is enough.
     once = (F.col("q.root") == F.col("p.main")) | (F.col("p.root") < F.col("q.root"))
-    more = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & once & (_apart(F.col("p.f"), F.col("q.f")) <= SOME))
+    more = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & once & (_apart(shown("p."), shown("q.")) <= SOME))
     pairs = tables.keep(more.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct())
     found, at = _verified(pairs, one, texts, tables), rooted.select("id", "root")
     edges = found.join(at.toDF("a", "x"), "a").join(at.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
