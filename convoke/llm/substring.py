@@ -48,7 +48,7 @@ from ..plans.tables import columns, drop, names, put_once, read_text, shared, wr
 
 WINDOW, ANCHOR = 20, 10
 #: Bytes of text that are dealt together, windows of a bucket in a batch (about), and batches of one removal.
-PART, ROOM, BATCHES = 8 << 20, 1 << 20, 2
+PART, ROOM, BATCHES = 3 << 20, 1 << 20, 2
 _CHECK = 0xC2B2AE3D27D4EB4F
 _U = np.uint64
 
