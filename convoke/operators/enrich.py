@@ -118,17 +118,21 @@ def with_scholars(events: DataFrame, scholars: list[dict[str, Any]]) -> DataFram
     rows = [F.struct(F.lit(own).alias("own"), F.lit(k).alias("k"), F.lit(scholars[k]["canonical_name"]).alias("name"), F.array(*[F.lit(t) for t in scholars[k].get("tags", [])]).cast("array<string>").alias("tags")) for k, _, _, own in _surfaces(scholars, "canonical_name")]
     known = _literal(rows, "struct<own:string,k:int,name:string,tags:array<string>>")
 
+    own_names = F.create_map(*[F.lit(x) for s in scholars for x in (s["canonical_name"], plain_name(s["canonical_name"]))])
+
     def filled(p: Column, name: Column) -> Column:
+        """A person and the normalized name, both as the registry has them where it fills in."""
         own = F.get(F.filter(known, lambda s: s["own"] == name), F.lit(0))
         new = F.struct(own["name"].alias("canonical_name"), p["matched_text"].alias("matched_text"), p["role"].alias("role"), p["evidence"].alias("evidence"), p["confidence"].alias("confidence"), own["tags"].alias("scholar_tags")).cast(_PERSON)
-        return F.when((F.size(p["scholar_tags"]) > 0) | own.isNull(), p).otherwise(new)
+        stays = (F.size(p["scholar_tags"]) > 0) | own.isNull()
+        return F.struct(F.when(stays, p).otherwise(new).alias("person"), F.when(stays, name).otherwise(F.element_at(own_names, own["name"])).alias("name"))
 
-    # Names are composed outside of the lambdas: those run in generated code, composition doesn't.
+    # Names are composed once and outside of lambdas: those run in generated code, composition doesn't.
     events = events.withColumns({"_t": X.normalize_name(F.col("title")), "_n": X.normalize_names(F.transform("people", lambda p: p["canonical_name"]))})
-    events = events.withColumn("people", F.zip_with("people", "_n", filled)).withColumn("_n", X.normalize_names(F.transform("people", lambda p: p["canonical_name"])))
-    own_names = F.create_map(*[F.lit(x) for s in scholars for x in (s["canonical_name"], plain_name(s["canonical_name"]))])
-    new = F.filter(scholar_matches(F.col("_t"), scholars), lambda h: ~F.array_contains(F.col("_n"), F.element_at(own_names, h["canonical_name"])))
-    return events.withColumn("people", F.concat("people", new)).drop("_t", "_n")
+    events = events.withColumns({"_z": F.zip_with("people", "_n", filled), "_h": scholar_matches(F.col("_t"), scholars)})
+    names = F.transform("_z", lambda z: z["name"])
+    new = F.zip_with("_h", F.array_repeat(names, F.size("_h")), lambda h, all_: F.when(~F.array_contains(all_, F.element_at(own_names, h["canonical_name"])), h))
+    return events.withColumn("people", F.concat(F.transform("_z", lambda z: z["person"]), F.array_compact(new))).drop("_t", "_n", "_z", "_h")
 
 
 def with_scores(events: DataFrame, tiers: dict[str, str], interests: dict[str, float] | None = None) -> DataFrame:

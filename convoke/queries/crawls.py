@@ -90,7 +90,7 @@ def crawl_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def odd_web(url: str, timeout: float) -> W.Answer:
     """One site whose paths each break or bend one rule."""
     rule, to = url.rpartition("/")[2], lambda u: W.Answer(302, headers={"location": u})
-    plain = {"robots.txt": W.Answer(200, b"User-agent: *\nDisallow: /%64enied\nAllow: /d*ok$\n"), "moved": to("/ok"), "down": to("http://o.org/ok"), "away": to("https://p.org/ok"), "loop": to("/loop"), "gone": W.Answer(404), "busy": W.Answer(503), "large": W.Answer(200, b"x" * 3000)}
+    plain = {"robots.txt": W.Answer(200, b"User-agent: *\nDisallow: /%64enied\nAllow: /denied*ok$\n"), "moved": to("/ok"), "down": to("http://o.org/ok"), "away": to("https://p.org/ok"), "loop": to("/loop"), "gone": W.Answer(404), "busy": W.Answer(503), "large": W.Answer(200, b"x" * 3000)}
     return plain.get(rule, W.Answer(200, b"<h1>x</h1>", {"content-type": "text/html"}))
 
 

@@ -237,7 +237,7 @@ def enrich_linked(stubs: DataFrame, docs: DataFrame, now: Column) -> DataFrame:
     pages = pages.select("source", "page", "error", C.access_class(F.col("words")).alias("access"), F.inline(F.concat(page, F.coalesce(F.filter(keys, lambda k: k["key"].isNotNull()), F.slice(page, 1, 0)))))
     asked = F.array(F.lit("p"), F.concat(F.lit("u"), F.col("url")), named(F.col("title")))
     listed = F.col("listed") if "listed" in stubs.columns else F.regexp_replace("url", r"[?&]event-node=[0-9]+$", "") == F.col("source_url")
-    rows = stubs.drop("listed", "error").withColumn("page", F.when(listed, F.col("source_url")).otherwise(F.col("url")))
+    rows = stubs.withColumn("page", F.when(listed, F.col("source_url")).otherwise(F.col("url"))).drop("listed", "error")
     whole = [c for c in rows.columns if c not in ("date_hint", "page")]
     rows = rows.withColumn("key", F.explode(asked)).join(pages, ["source", "page", "key"], "left")
     found = F.array_sort(F.collect_set(F.when(F.col("node").isNotNull(), F.struct("node.ord", "rank", "node"))))

@@ -48,7 +48,8 @@ def first_seen(sightings: DataFrame, retention_days: int = RETENTION_DAYS) -> Da
     """id, first_seen_at, last_seen_at and sightings of each id by a stream of (id, seen_at).
 
     An id that comes back within the retention keeps its first time; later it is new.
-    What is kept of an id goes when nothing has come for it for as long.
+    What is kept of an id goes when the stream is past its last sighting by twice the
+    retention; sightings that are late by more than the retention are left out.
     """
     span = datetime.timedelta(days=retention_days)
 
@@ -63,8 +64,10 @@ def first_seen(sightings: DataFrame, retention_days: int = RETENTION_DAYS) -> Da
                 first, n = t, 0
             last, n = t if last is None else max(last, t), n + 1
         state.update((first, last, n))
-        state.setTimeoutDuration(max(1, int(span.total_seconds() * 1000)))
+        # Times without a zone count as UTC; a timeout may not lie before the watermark.
+        state.setTimeoutTimestamp(max(pd.Timestamp(last + span).value // 1_000_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"id": [key[0]], "first_seen_at": [first], "last_seen_at": [last], "sightings": [n]})
 
     shape = "id string, first_seen_at timestamp, last_seen_at timestamp, sightings long"
-    return sightings.groupBy("id").applyInPandasWithState(update, shape, "first timestamp, last timestamp, n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = sightings.withWatermark("seen_at", f"{int(span.total_seconds())} seconds")
+    return timed.groupBy("id").applyInPandasWithState(update, shape, "first timestamp, last timestamp, n long", "update", GroupStateTimeout.EventTimeTimeout)
