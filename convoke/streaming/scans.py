@@ -32,7 +32,7 @@ def store_scans(events: DataFrame, health: DataFrame | None, store: ScanStore, c
         ended = batch.filter("id IS NULL").select("scan_id", "scanned_at").distinct().orderBy("scanned_at", "scan_id").collect()
         for scan_id, at in ended:
             if scan_id not in store.pointer()["scans"]:
-                rows = spark.read.schema(shape).parquet(f"{waiting}/batch=*").filter((F.col("scan_id") == scan_id) & F.col("id").isNotNull())
+                rows = spark.read.schema(shape).parquet(waiting).filter((F.col("scan_id") == scan_id) & F.col("id").isNotNull())
                 found = store.table("health").limit(0) if health is None else health.filter(F.col("scan_id") == scan_id).drop("scan_id")
                 store.store_scan(rows.select([c for c in batch.columns if c not in ("scan_id", "scanned_at")]), found, at, scan_id)
         for scan_id, _ in ended:
