@@ -8,6 +8,7 @@ but for one word longer than a block.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,3 +148,12 @@ def slices(table: pa.Table | pa.RecordBatch, column: str, size: int = 4 << 20) -
             to = max(k + 1, int(np.searchsorted(at, at[k] + size, "right")) - 1)
             yield batch.slice(k, to - k)
             k = to
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trimmed() -> None:
+    """Gives memory that a worker has freed back to the machine, where its C library can."""
+    if _trim is not None:
+        _trim(0)

@@ -48,7 +48,7 @@ from ..plans.tables import columns, drop, names, put_once, read_text, shared, wr
 
 WINDOW, ANCHOR = 20, 10
 #: Bytes of text that are dealt together, windows of a bucket in a batch (about), and batches of one removal.
-PART, ROOM, BATCHES = 3 << 20, 1 << 20, 2
+PART, ROOM, BATCHES = 3 << 19, 1 << 20, 2
 _CHECK = 0xC2B2AE3D27D4EB4F
 _U = np.uint64
 
@@ -236,6 +236,7 @@ def _met(new: pa.Table, old: pa.Table, buckets: int) -> pa.Table:
         fresh_h, fresh_c = fresh_h[order], fresh_c[order]
         one = np.concatenate([[True], (fresh_h[1:] != fresh_h[:-1]) | (fresh_c[1:] != fresh_c[:-1])]) if len(order) else np.zeros(0, bool)
         out.append(pa.Table.from_batches([_run(own.column("bucket")[0].as_py(), fresh_h[one], fresh_c[one])]))
+    X.trimmed()
     return pa.concat_tables(out)
 
 
@@ -322,6 +323,7 @@ class FingerprintIndex:
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in _gathered(batches):
                 yield from _dealt(part, window, anchor, buckets)
+                X.trimmed()
 
         new = batch.select("d", "t", "text").mapInArrow(deal, _ROW)
         old = self.spark.createDataFrame([], _ROW)
