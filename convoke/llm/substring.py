@@ -212,8 +212,8 @@ def _within(h: np.ndarray, c: np.ndarray, known_h: np.ndarray, known_c: np.ndarr
     return out
 
 
-def _met(new: pa.Table, old: pa.Table, buckets: int) -> pa.Table:
-    """A bucket of a batch against the run: ranges that are repeated (kind 0), and the windows that are new (kind 1)."""
+def _met(new: pa.Table, old: pa.Table, buckets: int, last: bool = False) -> pa.Table:
+    """A bucket of a batch against the runs: ranges that are repeated (kind 0), and, unless it is the last batch, the windows that are new (kind 1)."""
     kind = new.column("kind").to_numpy()
     out = [new.filter(pa.array(kind == 0)).cast(_TYPES)]
     own = new.filter(pa.array(kind == 2))
@@ -231,11 +231,12 @@ def _met(new: pa.Table, old: pa.Table, buckets: int) -> pa.Table:
         if again.any():
             first, many = _ranges(again, which, at)
             out.append(pa.Table.from_batches([_removed(d[doc[which[first]]], t[doc[which[first]]], at[first], many, buckets)]))
-        fresh_h, fresh_c = h[~again], c[~again]
-        order = np.lexsort((fresh_c, fresh_h))
-        fresh_h, fresh_c = fresh_h[order], fresh_c[order]
-        one = np.concatenate([[True], (fresh_h[1:] != fresh_h[:-1]) | (fresh_c[1:] != fresh_c[:-1])]) if len(order) else np.zeros(0, bool)
-        out.append(pa.Table.from_batches([_run(own.column("bucket")[0].as_py(), fresh_h[one], fresh_c[one])]))
+        if not last:
+            fresh_h, fresh_c = h[~again], c[~again]
+            order = np.lexsort((fresh_c, fresh_h))
+            fresh_h, fresh_c = fresh_h[order], fresh_c[order]
+            one = np.concatenate([[True], (fresh_h[1:] != fresh_h[:-1]) | (fresh_c[1:] != fresh_c[:-1])]) if len(order) else np.zeros(0, bool)
+            out.append(pa.Table.from_batches([_run(own.column("bucket")[0].as_py(), fresh_h[one], fresh_c[one])]))
     X.trimmed()
     return pa.concat_tables(out)
 
@@ -311,11 +312,14 @@ class FingerprintIndex:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(folder)}")
         drop(self.spark, f"{self.path}/{folder}")
 
-    def ingest(self, batch: DataFrame) -> DataFrame:
+    def ingest(self, batch: DataFrame, last: bool = False) -> DataFrame:
         """Adds a batch (d, t, text); d, t, at and len of its repeated windows, as ranges of starts.
 
         What it returns is read from the batch's run, until the next ``compact`` or ``close``.
+        Of the last batch of an index that goes with ``close`` the windows needn't be kept.
         """
+        if last and self.kept:
+            raise ValueError("an index with a path has no last batch")
         if len(self.list["runs"]) > self.most_runs:
             self.compact()
         window, anchor, buckets = self.list["window"], self.list["anchor"], self.list["buckets"]
@@ -330,7 +334,7 @@ class FingerprintIndex:
         for k, folder in enumerate(self.list["runs"]):
             run = self._table(folder).filter("kind = 1")
             old = old.unionByName(run) if k else run
-        made = self._write(new.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(lambda a, b: _met(a, b, buckets), _ROW))
+        made = self._write(new.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(lambda a, b: _met(a, b, buckets, last), _ROW))
         self._listed([*self.list["runs"], made])
         return self._table(made).filter("kind = 0")
 
@@ -411,19 +415,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     if index is None:
         low, high, size = docs.agg(F.min("doc_id"), F.max("doc_id"), F.sum(F.octet_length("text"))).first()
         cuts = [] if low is None else [low + (high - low + 1) * k // batches for k in range(1, batches)]
-        own = FingerprintIndex(spark, None, window, anchor, buckets=int((size or 0) / 6 / max(1, batches) / ROOM) + 1)
+        own = FingerprintIndex(spark, None, window, anchor, most_runs=batches, buckets=int((size or 0) / 6 / max(1, batches) / ROOM) + 1)
         found = []
         for k in range(len(cuts) + 1):
             within = F.lit(True) if not k else F.col("doc_id") >= cuts[k - 1]
             within = within & (F.col("doc_id") < cuts[k]) if k < len(cuts) else within | F.col("doc_id").isNull()
-            found.append(written(own.ingest(docs.filter(within)), shared(spark)))
-        own.close()
+            found.append(own.ingest(docs.filter(within), last=k == len(cuts)))
     else:
-        found, window = [written(index.ingest(docs))], index.list["window"]
+        own, found, window = None, [index.ingest(docs)], index.list["window"]
     ranges = found[0]
     for x in found[1:]:
         ranges = ranges.unionByName(x)
     ranges = written(ranges.groupBy("bucket").applyInArrow(_by_document, "d long, t int, ranges binary"))
+    if own is not None:
+        own.close()
     owners = spark.sparkContext.broadcast(bitmap(ranges.select(F.xxhash64("d", "t").alias("o")), "o"))
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
