@@ -49,6 +49,8 @@ from ..plans.tables import columns, drop, names, put_once, read_text, shared, wr
 WINDOW, ANCHOR = 20, 10
 #: Bytes of text that are dealt together, windows of a bucket in a batch (about), and batches of one removal.
 PART, ROOM, BATCHES = 3 << 19, 1 << 20, 2
+#: Rows that Spark hands to a worker at once: batches of texts take memory on both sides.
+_ROWS, _ROWS_CONF = 512, "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CHECK = 0xC2B2AE3D27D4EB4F
 _U = np.uint64
 
@@ -296,7 +298,12 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> str:
         """Rows as a table of its own, bucketed by bucket: joins with it don't shuffle it."""
         folder, name = f"run-{uuid.uuid4().hex}", f"convoke_{uuid.uuid4().hex}"
-        rows.write.format("parquet").bucketBy(self.list["tasks"], "bucket").option("path", f"{self.path}/{folder}").saveAsTable(name)
+        before = self.spark.conf.get(_ROWS_CONF)
+        self.spark.conf.set(_ROWS_CONF, str(_ROWS))
+        try:
+            rows.write.format("parquet").bucketBy(self.list["tasks"], "bucket").option("path", f"{self.path}/{folder}").saveAsTable(name)
+        finally:
+            self.spark.conf.set(_ROWS_CONF, before)
         self.tables[folder] = name
         return folder
 
