@@ -276,7 +276,7 @@ class FingerprintIndex:
         self.path = (path or shared(spark)).rstrip("/")
         self.tables: dict[str, str] = {}
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        made = {"window": window, "anchor": min(anchor, window), "tasks": tasks, "buckets": 1 << max(4, (max(buckets or 1, 4 * tasks) - 1).bit_length()), "runs": []}
+        made = {"window": window, "anchor": min(anchor, window), "tasks": tasks, "buckets": 1 << max(4, (max(buckets or 1, 2 * tasks) - 1).bit_length()), "runs": []}
         found = self._newest()
         if found is None and not put_once(spark, f"{self.path}/RUNS.0", json.dumps(made)):
             raise RuntimeError("another one is opening this index")
