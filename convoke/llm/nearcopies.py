@@ -127,6 +127,7 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if full.any():
                 prints[full] = fingerprints(v, np.concatenate([at[:-1][full], at[-1:]]))
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "cls": _signed(classes(v, at)), "n": pa.array(np.diff(at).astype(np.int32))} | {c: _signed(prints[:, k]) for k, c in enumerate(_PRINTS)})
+        X.trimmed()
 
 
 def keyed(rooted: DataFrame, bands: int = BANDS) -> DataFrame:
@@ -140,6 +141,7 @@ def keyed(rooted: DataFrame, bands: int = BANDS) -> DataFrame:
                 key, row = keys(np.stack([part.column(c).to_numpy().view(_U) for c in _PRINTS], 1), bands)
                 row = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(key), *(part.column(c).take(row) for c in own)], ["key", *own])
+            X.trimmed()
 
     # Keys are many times what they come from: the classes are dealt out first.
     return rooted.select("id", "root", *_PRINTS).repartition(parts, "id").mapInArrow(read, "key int, " + ", ".join(f"{c} long" for c in own)).repartition(parts, "key")
@@ -190,6 +192,7 @@ def _verified(pairs: DataFrame, one: DataFrame, texts: DataFrame, tables: _Table
                 bounds = np.concatenate([[0], np.cumsum(np.diff(at)[pick])])
                 take = np.arange(bounds[-1]) + np.repeat(at[:-1][pick] - bounds[:-1], np.diff(at)[pick])
                 yield pa.RecordBatch.from_pydict({"cls": _signed(cls[pick]), "set": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), _signed(v[take]))})
+            X.trimmed()
 
     held = tables.keep(texts.select("text").mapInArrow(sets, "cls long, set array<long>").groupBy("cls").agg(F.first("set").alias("set")))
     wanted.destroy()

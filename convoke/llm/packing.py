@@ -179,14 +179,15 @@ def pack(docs: DataFrame, length: int = LENGTH, end: int = END, pool: int = POOL
         table |= {"sequence_id": pa.array(made, pa.int64()), "offset": pa.array([0] * len(whole) + offset, pa.int64())}
         if ids:
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in cols[5]])]).astype(np.int32)
-            table["ids"] = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(cols[5]).astype(np.int32)))
+            table["ids"] = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(cols[5]).view(np.int32)))
         return pa.RecordBatch.from_pydict(table), first + len(whole) + n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, pieces, held = encoder(path), [], 0
         first = TaskContext.get().partitionId() << 40
         for whole in batches:
-            for part in X.slices(whole, "text"):
+            # Small parts: words that stay are kept among those that go, and hold their pages.
+            for part in X.slices(whole, "text", 1 << 20):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 for doc_id, found in zip(part.column("doc_id").to_pylist(), encode.encode(texts), strict=True):
                     found = np.append(found, np.uint32(end)).astype("<u4")
@@ -199,8 +200,13 @@ def pack(docs: DataFrame, length: int = LENGTH, end: int = END, pool: int = POOL
                         out, first = flush(pieces, first)
                         pieces, held = [], 0
                         yield out
+                        del out
+                        X.trimmed()
         if pieces:
-            yield flush(pieces, first)[0]
+            out, pieces = flush(pieces, first)[0], []
+            yield out
+            del out
+        X.trimmed()
 
     docs = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(run, _PIECE + (", ids array<int>" if ids else ""))

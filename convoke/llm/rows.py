@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DataType, StructField, StructType
 
+from . import arrowtext as X
+
 
 def map_rows(docs: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], **more: DataType) -> DataFrame:
     """The rows that fn gives for each batch of docs: its columns, in order, and then ``more``.
@@ -22,5 +24,6 @@ def map_rows(docs: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordB
         for batch in batches:
             for out in fn(batch.rename_columns(names)):
                 yield out.rename_columns(own)
+            X.trimmed()
 
     return inner.mapInArrow(run, StructType([StructField(n, t) for n, t in zip(own, kinds, strict=True)])).toDF(*names, *more)
